@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skarn.llm.bpe import round_trip
 from skarn.llm.exact_dedup import exact_dedup
+from skarn.llm.packing import pack
 from skarn.llm.quality import quality_rules
 from skarn.llm.sharding import shard_documents
+from skarn.llm.token_counts import token_counts
 from skarn.llm.url_filter import url_filter
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -20,10 +23,28 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,7 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents")).drop("group_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_url_filter, op9_quality_rules, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op4_url_filter, op7_bpe_round_trip, op8_best_fit_packing, op9_quality_rules, op10_sharding)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
