@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skarn.llm.bpe import round_trip
 from skarn.llm.exact_dedup import exact_dedup
+from skarn.llm.ngram_join import ngram_join
 from skarn.llm.packing import pack
 from skarn.llm.quality import quality_rules
 from skarn.llm.sharding import shard_documents
@@ -23,6 +24,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -53,7 +58,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents")).drop("group_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op4_url_filter, op7_bpe_round_trip, op8_best_fit_packing, op9_quality_rules, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_token_counts, op4_url_filter, op7_bpe_round_trip, op8_best_fit_packing, op9_quality_rules, op10_sharding)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
