@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skarn.llm.bpe import round_trip
 from skarn.llm.exact_dedup import exact_dedup
+from skarn.llm.language_id import language_id
 from skarn.llm.ngram_join import ngram_join
 from skarn.llm.packing import pack
 from skarn.llm.quality import quality_rules
@@ -42,6 +43,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -58,7 +63,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents")).drop("group_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_token_counts, op4_url_filter, op7_bpe_round_trip, op8_best_fit_packing, op9_quality_rules, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_token_counts, op4_url_filter, op5_language_id, op7_bpe_round_trip, op8_best_fit_packing, op9_quality_rules, op10_sharding)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
