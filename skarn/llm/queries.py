@@ -11,6 +11,7 @@ from skarn.llm.ngram_join import ngram_join
 from skarn.llm.packing import pack
 from skarn.llm.quality import quality_rules
 from skarn.llm.sharding import shard_documents
+from skarn.llm.substring_dedup import repeated_passages
 from skarn.llm.token_counts import token_counts
 from skarn.llm.url_filter import url_filter
 
@@ -47,6 +48,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -63,7 +68,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents")).drop("group_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_token_counts, op4_url_filter, op5_language_id, op7_bpe_round_trip, op8_best_fit_packing, op9_quality_rules, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_token_counts, op4_url_filter, op5_language_id, op6_substring_dedup, op7_bpe_round_trip, op8_best_fit_packing, op9_quality_rules, op10_sharding)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": r"""
