@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skarn.llm.common import attach, stored
 
@@ -226,3 +227,17 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lim
     rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("text_sha256"))
     out = attach(rows, groups, "text_sha256", F.col("doc_id"), "group_size", total)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def drop_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", limit: int = 96 << 20) -> DataFrame:
+    """The rows of docs, whole, that exact_dedup() keeps; of rows that repeat an id and its text, one."""
+    result = stored(exact_dedup(docs, text, id_col, limit), "copies")
+    drop = result.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    sha = F.sha2(normalised(F.col(text)).cast("binary"), 256)
+    rows = docs.withColumn("_mine", sha)
+    rows = rows.join(drop, rows[id_col].cast("long").eqNullSafe(drop["_id"]) & (rows["_mine"] == drop["_sha"]), "left_anti")
+    repeated = result.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").limit(1).count()
+    if repeated:
+        by = Window.partitionBy(id_col, "_mine").orderBy(F.lit(0))
+        rows = rows.withColumn("_nth", F.row_number().over(by)).filter("_nth = 1").drop("_nth")
+    return rows.drop("_mine")

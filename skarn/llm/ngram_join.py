@@ -451,3 +451,10 @@ def ngram_join(docs: DataFrame, percent: int = 70, k: int = 3, text: str = "text
 
 def _key() -> F.Column:
     return F.concat_ws("/", F.hex("entity"), F.col("n"))
+
+
+def drop_similar(docs: DataFrame, percent: int = 70, k: int = 3, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, whole, less those that similarity links to a smaller id. A row with a null id can't be named and stays."""
+    result = ngram_join(docs, percent, k, text, id_col)
+    drop = result.filter("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(drop, docs[id_col].cast("long") == drop["_id"], "left_anti")

@@ -169,6 +169,22 @@ def calibrate(measured: DataFrame, labels: DataFrame, stratum: str, alpha: float
     return cutoffs
 
 
+def _failed_score(cutoffs: dict[tuple[str, str], float], stratum: str) -> F.Column:
+    """The first score above its stratum's cutoff, or null."""
+    failed = F.lit(None).cast("string")
+    s = scores()
+    for k in reversed(CUTOFFS):
+        by = {a: c for (a, b), c in cutoffs.items() if b == k}
+        if by:
+            cut = F.create_map(*[F.lit(x) for kv in by.items() for x in kv])[F.col(stratum)]
+            failed = F.when(s[k] > cut, F.lit(k)).otherwise(failed)
+    return failed
+
+
+def _stratum(name: str) -> F.Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit("none"))
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", alpha: float = 0.004, delta: float = 0.05, max_strata: int = 1000) -> DataFrame:
     """One row per document: doc_id, BASE, base_failed, kept, stratum, failed_score.
 
@@ -178,15 +194,19 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang",
     only the base rules reject. Repeated rows and ids are judged each on its own. A label without
     a document, or with null quality, counts for nothing. Other columns are not read.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("none")).alias("stratum"), "text")
+    rows = docs.select("doc_id", _stratum(stratum).alias("stratum"), "text")
     measured = stored(measure(rows, keep=("doc_id", "stratum")), "quality")
     cutoffs = calibrate(measured, labels, "stratum", alpha, delta, max_strata)
-    failed = F.lit(None).cast("string")
-    s = scores()
-    for k in reversed(CUTOFFS):
-        by = {a: c for (a, b), c in cutoffs.items() if b == k}
-        if by:
-            cut = F.create_map(*[F.lit(x) for kv in by.items() for x in kv])[F.col("stratum")]
-            failed = F.when(s[k] > cut, F.lit(k)).otherwise(failed)
-    out = measured.withColumn("base_failed", base_failed()).withColumn("failed_score", failed)
+    out = measured.withColumn("base_failed", base_failed()).withColumn("failed_score", _failed_score(cutoffs, "stratum"))
     return out.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & F.col("failed_score").isNull()).alias("kept"), "stratum", "failed_score")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", alpha: float = 0.004, delta: float = 0.05, max_strata: int = 1000) -> DataFrame:
+    """The rows of docs, whole, that quality_rules() keeps. Each row is judged by its own text, so no join by id is needed."""
+    rows = docs.select("doc_id", _stratum(stratum).alias("stratum"), "text")
+    measured = stored(measure(rows, keep=("doc_id", "stratum")), "quality")
+    cutoffs = calibrate(measured, labels, "stratum", alpha, delta, max_strata)
+    carried = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(F.col("text").alias("_t"), _stratum(stratum).alias("_s"), *[F.col(c).alias(n) for c, n in carried.items()])
+    judged = measure(rows, "_t", ("_s", *carried.values())).filter(~base_failed() & _failed_score(cutoffs, "_s").isNull())
+    return judged.select(*[F.col(n).alias(c) for c, n in carried.items()])
