@@ -7,10 +7,11 @@ typed columns reach the Parquet scan.
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import json
 import operator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ class Condition:
     op: str
     field: str = ""
     value: object = None
-    children: list[Condition] = field(default_factory=list)
+    children: list[Condition] = dataclasses.field(default_factory=list)
 
 
 def parse_filter(source: str | dict | Condition | None, strict: bool = False) -> Condition:
@@ -164,7 +165,8 @@ class _Dynamic(_Value):
 
 
 class _Missing(_Value):
-    has = F.lit(False)
+    def __init__(self) -> None:
+        self.has = F.lit(False)
 
 
 def _any(parts: list[Column]) -> Column:

@@ -67,7 +67,7 @@ class TextIndex:
         hits = mine if ids is None else mine.join(ids.select("doc_id"), "doc_id", "left_semi")
         hits = hits.join(wanted.join(df, "term"), "term").join(self.lengths, "doc_id").crossJoin(F.broadcast(self.totals()))  # one row
         share = F.col("times") * term_score(F.col("tf"), F.col("df"), F.col("doc_len"), F.col("n"), F.col("avgdl"), self.k1, self.b)
-        return hits.withColumn("_s", share).groupBy("qid", "doc_id").agg(F.sum("_s").alias("score"))
+        return hits.withColumn("_s", share).groupBy("qid", "doc_id").agg(F.round(F.sum("_s"), 10).alias("score"))  # equal documents tie, in whatever order terms are added
 
     def search_batch(self, queries: DataFrame, k: int, ids: DataFrame | None = None) -> DataFrame:
         """qid, rank, doc_id, score: the k best documents of each query."""
