@@ -371,24 +371,31 @@ def repeated_passages(docs: DataFrame, words: int = 50, join: int = 3, k: int =
 def _cut(names: list[str]):
     at = names.index("_text")
 
+    def left_of(t: str, spans: list[dict]) -> str:
+        raw = t.encode()
+        data = np.frombuffer(raw, np.uint8)
+        starts, _, _ = kernel.words(data, np.array([0, len(data)]))
+        out, last = [], 0
+        for lo, hi in sorted((c["start_word"], c["end_word"]) for c in spans):
+            out.append(raw[last : starts[lo]])
+            last = starts[hi] if hi < len(starts) else len(raw)
+        return b"".join([*out, raw[last:]]).decode()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
-            left = []
-            for t, cuts in zip(texts, spans):
-                if cuts:
-                    raw = t.encode()
-                    data = np.frombuffer(raw, np.uint8)
-                    starts, ends, _ = kernel.words(data, np.array([0, len(data)]))
-                    out, last = [], 0
-                    for c in sorted((c["start_word"], c["end_word"]) for c in cuts):
-                        out.append(raw[last : starts[c[0]]])
-                        last = starts[c[1]] if c[1] < len(starts) else len(raw)
-                    t = b"".join([*out, raw[last:]]).decode()
-                left.append(t)
+            spans = batch.column(len(names))
             cols = batch.columns[: len(names)]
-            cols[at] = pa.array(left, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            cut = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+            if len(cut):
+                texts = cols[at].to_pylist()
+                keep = np.ones(batch.num_rows, bool)
+                for i in cut.tolist():
+                    texts[i] = left_of(texts[i], spans[i].as_py())
+                    keep[i] = bool(texts[i].strip(" \t\n\r\x0b\x0c"))
+                cols[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep))
+            else:
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
@@ -397,9 +404,7 @@ def cut_passages(docs: DataFrame, passages: DataFrame, text: str = "text", id_co
     """docs without their listed passages. A document of which no word is left goes; others keep all their columns."""
     spans = passages.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
     names = [("_text" if c == text else c) for c in docs.columns]
-    rows = docs.withColumnRenamed(text, "_text").join(spans, F.col(id_col) == F.col("_id"), "left").drop("_id")
-    schema = docs.withColumnRenamed(text, "_text").schema
-    changed = rows.filter("_spans is not null").select(*names, "_spans").mapInArrow(_cut(names), schema)
-    changed = changed.filter(F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    same = rows.filter("_spans is null").select(*names)
-    return same.unionAll(changed).withColumnRenamed("_text", text)
+    rows = docs.withColumnRenamed(text, "_text")
+    schema = rows.schema
+    rows = rows.join(spans, F.col(id_col) == F.col("_id"), "left").select(*names, "_spans")
+    return rows.mapInArrow(_cut(names), schema).withColumnRenamed("_text", text)
