@@ -18,6 +18,7 @@ import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -113,6 +114,8 @@ class Codec:
         return parts[0]
 
     def merge(self, piece: bytes) -> list[int]:
+        if not piece:
+            return []
         if piece in self.vocab:
             return [self.vocab[piece]]
         return self.engine._encode_single_piece(piece)
@@ -236,7 +239,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     rest = [c for c in docs.columns if c not in (text, "ids")]
     rows = docs.select(F.col(text).cast("string").alias("_text"), *rest)
     fields = [f for f in rows.schema.fields if f.name != "_text"]
-    schema = type(rows.schema)(fields).add("ids", "array<int>")
+    schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return rows.mapInArrow(_encode(vocabulary(docs.sparkSession, path)), schema)
 
 
@@ -255,4 +258,4 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     rest = [c for c in rows.columns if c not in (ids, "text")]
     rows = rows.select(F.col(ids).cast("array<int>").alias("_ids"), *rest)
     fields = [f for f in rows.schema.fields if f.name != "_ids"]
-    return rows.mapInArrow(_decode(vocabulary(rows.sparkSession, path)), type(rows.schema)(fields).add("text", "string"))
+    return rows.mapInArrow(_decode(vocabulary(rows.sparkSession, path)), T.StructType([*fields, T.StructField("text", T.StringType())]))

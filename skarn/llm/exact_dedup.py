@@ -101,6 +101,8 @@ class RadixTrie:
             node, prefix = self.root, b""
             while node[2] is None and len(node[1]) == 1 and (only := next(iter(node[1].values())))[1].__class__ is not Spill and only[1]:
                 prefix, node = prefix + only[0], only
+            if node[2] is None and len(node[1]) == 1 and not self.flush:  # one string: nothing to part
+                return
             heavy = max(((self._weight(c), b) for b, c in node[1].items() if c[1].__class__ is not Spill), default=None)
             if heavy is None:  # what is left lies on disk already, or is one string
                 return
