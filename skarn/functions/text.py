@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from enum import Enum
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STOP_WORDS = (
@@ -18,6 +18,22 @@ class Analyzer(Enum):
     NONE = "none"
 
 
+def lower_ascii(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def exploded(docs: DataFrame, id_col: str, text_col: str, analyzer: Analyzer | str = Analyzer.STANDARD) -> DataFrame:
+    """doc_id and term, a row for each of tokens(). Stop words are dropped as rows, in generated code.
+
+    The explode is an outer one: from an inner one the planner infers a filter that splits every text twice.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    if Analyzer(analyzer) is Analyzer.STANDARD:
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(F.split(lower_ascii(text), "[^a-z0-9]+")).alias("term"))
+        return rows.filter((F.length("term") >= 2) & ~F.col("term").isin(STOP_WORDS))
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(tokens(text, analyzer)).alias("term")).filter("term is not null")
+
+
 def tokens(text: Column, analyzer: Analyzer | str = Analyzer.STANDARD) -> Column:
     """The terms of a text, in order and with repeats.
 
@@ -27,10 +43,10 @@ def tokens(text: Column, analyzer: Analyzer | str = Analyzer.STANDARD) -> Column
     """
     analyzer = Analyzer(analyzer)
     text = F.coalesce(text, F.lit(""))
-    if analyzer is Analyzer.STANDARD:
-        parts = F.split(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")), " ")
-        stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-        return F.filter(parts, lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))
+    if analyzer is Analyzer.STANDARD:  # by regular expressions: a lambda over the terms is many times slower
+        words = F.regexp_replace(lower_ascii(text), "[^a-z0-9]+", " ")
+        words = F.regexp_replace(words, rf"(?<![a-z0-9])(?:[a-z0-9]|{'|'.join(STOP_WORDS)})(?![a-z0-9])", "")
+        return F.array_remove(F.split(words, " +"), "")
     parts = F.split(text, r"[ \t\n\x0B\f\r]+") if analyzer is Analyzer.WHITESPACE else F.array(text)
     parts = F.transform(parts, lambda t: F.lower(F.regexp_replace(t, "[^A-Za-z0-9]", "")))
     return F.filter(parts, lambda t: F.length(t) >= 2)

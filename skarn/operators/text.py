@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skarn.functions.text import Analyzer, tokens
+from skarn.functions.text import Analyzer, exploded, tokens
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -21,19 +21,22 @@ def term_score(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column, k1:
     return F.when((n == 0) | (df == 0), F.lit(0.0)).otherwise(score)
 
 
+def _count(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+
+
 class TextIndex:
     """Postings (term, doc_id, tf) and lengths (doc_id, doc_len) of the documents that have terms."""
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame, analyzer: Analyzer | str = Analyzer.STANDARD, k1: float = 1.2, b: float = 0.75) -> None:
+    def __init__(self, postings: DataFrame, lengths: DataFrame, analyzer: Analyzer | str = Analyzer.STANDARD, k1: float = 1.2, b: float = 0.75, occurrences: DataFrame | None = None) -> None:
         self.postings, self.lengths, self.analyzer, self.k1, self.b = postings, lengths, Analyzer(analyzer), k1, b
+        self.occurrences = occurrences  # what postings count, where they aren't stored: a search then counts its own terms only
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "content", analyzer: Analyzer | str = Analyzer.STANDARD, k1: float = 1.2, b: float = 0.75) -> TextIndex:
-        rows = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col), analyzer).alias("terms"))
-        lengths = rows.select("doc_id", F.size("terms").cast("long").alias("doc_len")).filter("doc_len > 0")
-        # a document's terms are counted within its row, so that only (term, document, tf) is exploded
-        counted = rows.select("doc_id", F.explode("terms").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        return cls(counted, lengths, analyzer, k1, b)
+        pairs = exploded(docs, id_col, text_col, analyzer)
+        lengths = pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("doc_len"))
+        return cls(_count(pairs), lengths, analyzer, k1, b, pairs)
 
     def write(self, path: str) -> None:
         """Postings are sorted by term, so that a search's terms prune row groups."""
@@ -62,7 +65,8 @@ class TextIndex:
         ids restricts the documents; n, df and the average length stay those of all.
         """
         wanted = queries.select("qid", F.explode(tokens(F.col("query"), self.analyzer)).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-        mine = self.postings.join(wanted.select("term").distinct(), "term", "left_semi")
+        terms = wanted.select("term").distinct()
+        mine = self.postings.join(terms, "term", "left_semi") if self.occurrences is None else _count(self.occurrences.join(terms, "term", "left_semi"))
         df = mine.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         hits = mine if ids is None else mine.join(ids.select("doc_id"), "doc_id", "left_semi")
         hits = hits.join(wanted.join(df, "term"), "term").join(self.lengths, "doc_id").crossJoin(F.broadcast(self.totals()))  # one row

@@ -19,6 +19,7 @@ from skarn.operators.knn import centroids, knn, knn_join, medoids, with_tag, wit
 from skarn.operators.ordered import OrderedIndex, bitmap, bitmap_count, id_difference, id_intersection, id_union, latest
 from skarn.operators.text import TextIndex
 from skarn.plans import evaluate, oltp
+from skarn.plans.layout import spread
 from skarn.schema import Schema
 from skarn.session import Workspace
 from skarn.sources.documents import chunk_documents
@@ -430,7 +431,7 @@ query(_plain_sql("[coalesce(text, '')]"), "tokenize_none")(_plain(Analyzer.NONE)
 
 
 def _index(spark: SparkSession, sf_dir: str) -> TextIndex:
-    return TextIndex.build(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return TextIndex.build(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query(f"WITH {INDEX} SELECT (SELECT count(*) FROM df) AS vocab_size, n AS doc_count, (SELECT sum(doc_len) FROM dl)::BIGINT AS total_doc_length, round(avgdl, 4) AS avg_doc_len FROM st")
