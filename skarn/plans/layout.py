@@ -1,8 +1,24 @@
-"""The layout of inputs."""
+"""The layout of inputs, and folders for scratch tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that all executors see: below spark.checkpoint.dir, or a temporary one where that is unset in local mode."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        if re.match(r"\w+:", shared) and not shared.startswith("file:"):
+            raise ValueError(f"not a mounted folder: {shared}")
+        return f"{re.sub('^file:/*', '/', shared)}/skarn-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="skarn-")
 
 
 def spread(df: DataFrame, least_bytes: int = 1 << 20, most_bytes: int = 1 << 30) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from skarn.operators.knn import centroids, knn, knn_join, medoids, with_tag, wit
 from skarn.operators.ordered import OrderedIndex, bitmap, bitmap_count, id_difference, id_intersection, id_union, latest
 from skarn.operators.text import TextIndex
 from skarn.plans import evaluate, oltp
-from skarn.plans.layout import spread
+from skarn.plans.layout import scratch_folder, spread
 from skarn.schema import Schema
 from skarn.session import Workspace
 from skarn.sources.documents import chunk_documents
@@ -632,7 +631,7 @@ def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def catalog_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with Workspace(spark, tempfile.mkdtemp(prefix="skarn-ws-"), True) as ws:
+    with Workspace(spark, scratch_folder(spark), True) as ws:
         catalog = IndexCatalog(ws)
         catalog.create_hnsw_index("vectors", 64)
         catalog.create_diskann_index("graph", 64)
@@ -645,7 +644,7 @@ def catalog_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE NOT coalesce(lang = 'fr' AND n_chars < 500, false) GROUP BY lang")
 def collection_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into a collection, some deleted by a filter, and the rest counted."""
-    ws = Workspace(spark, tempfile.mkdtemp(prefix="skarn-ws-"), True)
+    ws = Workspace(spark, scratch_folder(spark), True)
     c = Collection(ws, "docs", Schema.from_dict({"lang": "string", "n_chars": "int"}))
     c.add_dataframe(table(spark, sf_dir, "documents").select(F.col("text").alias("content"), "lang", "n_chars", "source"))
     c.delete_where({"lang": "fr", "n_chars": {"$lt": 500}})
