@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -112,7 +111,9 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], *, url: str = "ur
     read. The rule files are sent to each executor once (SparkContext.addFile) and memory-mapped.
     """
     distinct = list({r: v for v, r in reversed(rules)}.items())
-    folder, name = tempfile.mkdtemp(prefix="skarn-rules-"), f"rules-{uuid.uuid4().hex}"
+    name = f"rules-{uuid.uuid4().hex}"
+    folder = os.path.join(SparkFiles.getRootDirectory(), f"made-{name}")  # the driver's own folder of files to send
+    os.makedirs(folder)
     for f in Index.build([(v, r) for r, v in distinct], os.path.join(folder, name)):
         pages.sparkSession.sparkContext.addFile(f)
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
