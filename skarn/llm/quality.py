@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm import kernel
-from skarn.llm.common import stored
+from skarn.llm.common import drop_stored, stored
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -143,29 +143,71 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
+def families(sizes: dict[str, int], alpha: float, delta: float) -> tuple[list[str], list[str], float]:
+    """From the labels of each stratum: the strata tested on their own, those the pool's test is on, and each test's part of delta.
+
+    A stratum is tested on its own if its labels, none of them rejected, can guarantee a cutoff. The
+    others share one test on their pooled labels, or on all labels where those are too few.
+    Only numbers of labels decide this, never what a cutoff rejects.
+    """
+    order = sorted(sizes, key=lambda x: (-sizes[x], x))
+
+    def enough(n: int, tests: int) -> bool:
+        return binomial_cdf(0, n, alpha) <= delta / tests / 2
+
+    own = max([m for m in range(1, len(order) + 1) if enough(sizes[order[m - 1]], m + (m < len(order)))], default=0)
+    tests = max(1, own + (own < len(order)))
+    rest = order[own:]
+    return order[:own], rest if not rest or enough(sum(sizes[x] for x in rest), tests) else order, delta / tests
+
+
 def calibrate(measured: DataFrame, labels: DataFrame, stratum: str, alpha: float, delta: float, max_strata: int, id_col: str = "doc_id") -> dict[tuple[str, str], float]:
     """A cutoff for each stratum and score, where one can be guaranteed.
 
-    Of the labelled good documents that the base rules pass, a cutoff may reject a part of alpha
-    (shared evenly by the scores), with confidence 1 - delta over all strata and scores (Bonferroni).
-    Within a score the cutoffs are tested from mild to severe, and the first failure ends it
-    (fixed-sequence testing, so no further correction). Only counts reach the driver:
-    at most max_strata x the cutoffs.
+    Of the labelled good documents that the base rules pass, all cutoffs of a stratum together may reject a
+    part of alpha, with confidence 1 - delta over all tests (Bonferroni). Strata with few labels are tested
+    as one (families()): for them the guarantee is on the pool's documents, and one whose own
+    labels contradict it (more rejected than a rate of alpha explains, at delta) gets milder cutoffs.
+    Score after score, cutoffs are tested from mild to severe, each with all those accepted before
+    (fixed-sequence testing). Half of a test's delta is for the sequence until its first failure, which ends the score's
+    cutoffs. The other half is for going on with the next scores after it, shared by them and by all
+    cutoffs where one could start. Only counts reach the driver: at most 2 x max_strata x the cutoffs.
     """
     good = labels.filter(F.col("quality") == 1).filter(F.coalesce(F.col("toxic"), F.lit(0)) == 0).select(F.col(id_col).alias("_id")).distinct()
-    rows = measured.filter(~base_failed()).join(good, F.col(id_col) == F.col("_id"), "left_semi")
-    s = scores()
-    sums = [F.sum((s[k] > c).cast("long")).alias(f"{k}_{i}") for k, cs in CUTOFFS.items() for i, c in enumerate(cs)]
-    got = rows.groupBy(F.col(stratum).alias("_stratum")).agg(F.count(F.lit(1)).alias("_n"), *sums).limit(max_strata + 1).collect()
+    rows = measured.filter(~base_failed()).join(good, F.col(id_col) == F.col("_id"), "left_semi").select(F.col(stratum).alias("_stratum"), *BASE)
+    rows = stored(rows, "good")
+    got = rows.groupBy("_stratum").count().limit(max_strata + 1).collect()
     if len(got) > max_strata:
         raise ValueError(f"more than {max_strata} strata")
+    sizes = {r["_stratum"]: r["count"] for r in got}
+    own, pool, part = families(sizes, alpha, delta)
+    alone = F.col("_stratum").isin(own)
+    pooled = F.when(F.col("_stratum").isin(pool), F.lit("*"))
+    tests = F.array_compact(F.array(F.when(alone, F.concat(F.lit("="), "_stratum")), pooled))
+    members = {f"={x}": [x] for x in own} | ({"*": pool} if pool else {})
+    rows = rows.withColumn("_test", F.explode(tests))
+    accepted: dict[tuple[str, str], float] = {}
+    failed = set()
     cutoffs = {}
-    for r in got:
-        for k, cs in CUTOFFS.items():
+    starts = 1
+    for k, cs in CUTOFFS.items():
+        before = _failed_score(accepted, "_test").isNotNull()
+        sums = [F.sum((before | (scores()[k] > c)).cast("long")).alias(f"_{i}") for i, c in enumerate(cs)]
+        counts = {(r["_test"], r["_stratum"]): r for r in rows.groupBy("_test", "_stratum").agg(*sums).collect()}
+        for test, strata in members.items():
+            n = sum(sizes[x] for x in strata)
+            level = part / 2 / ((len(CUTOFFS) - 1) * starts if test in failed else 1)
             for i, c in enumerate(cs):
-                if binomial_cdf(r[f"{k}_{i}"], r["_n"], alpha / len(CUTOFFS)) > delta / (len(got) * len(CUTOFFS)):
+                if binomial_cdf(sum(counts[test, x][f"_{i}"] for x in strata), n, alpha) > level:
+                    failed.add(test)
                     break
-                cutoffs[r["_stratum"], k] = c
+                accepted[test, k] = c
+                for x in strata:
+                    contradicted = test == "*" and 1 - binomial_cdf(counts[test, x][f"_{i}"] - 1, sizes[x], alpha) < delta
+                    if (test != "*" or x not in own) and not contradicted:
+                        cutoffs[x, k] = c
+        starts *= len(cs) + 1
+    drop_stored(rows)
     return cutoffs
 
 
@@ -191,7 +233,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang",
     kept is false if base_failed or if a score is above its stratum's guaranteed cutoff; failed_score
     names the first such score. Null and empty texts have no words and fail the base rule. A null
     stratum is the stratum 'none'. Without labels (an empty table, or too few for any guarantee)
-    only the base rules reject. Repeated rows and ids are judged each on its own. A label without
+    only the base rules reject; a stratum without a labelled good document has no cutoff. Repeated rows and ids are judged each on its own. A label without
     a document, or with null quality, counts for nothing. Other columns are not read.
     """
     rows = docs.select("doc_id", _stratum(stratum).alias("stratum"), "text")

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from brute import base
 from skarn.llm import kernel
-from skarn.llm.quality import CUTOFFS, binomial_cdf, features, keep_good, quality_rules, upper_bound
+from skarn.llm.quality import CUTOFFS, binomial_cdf, families, features, keep_good, quality_rules, upper_bound
 
 
 @pytest.mark.parametrize("n, p", [(1, 0.3), (10, 0.02), (60, 0.5), (200, 0.001), (200, 0.9)])
@@ -72,3 +72,39 @@ def test_odd_rows(spark, odd, none):
 
 def test_cutoffs_are_ordered():
     assert all(a > b for cs in CUTOFFS.values() for a, b in itertools.pairwise(cs))
+
+
+def test_labelled_junk_goes_in_every_language(spark):
+    """sf0.1 has 288 to 1,789 good labels a language, too few for cutoffs from three of them alone."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()
+    label = {r.doc_id: r for r in labels}
+    got = quality_rules(df, spark.createDataFrame(labels)).filter("not base_failed").collect()
+    for lang in ("en", "de", "fr", "es"):
+        mine = [r for r in got if r.stratum == lang and r.doc_id in label]
+        junk = [r for r in mine if label[r.doc_id].quality == 0 and r.n_symbols > 0.05 * r.word_chars]
+        good = [r for r in mine if label[r.doc_id].quality == 1 and not label[r.doc_id].toxic]
+        assert len(junk) > 30 and not any(r.kept for r in junk)
+        assert sum(not r.kept for r in good) <= 0.004 * len(good)
+
+
+def test_families():
+    assert families({"en": 1789, "de": 439, "fr": 437, "es": 288}, 0.004, 0.05) == (["en"], ["de", "fr", "es"], 0.025)
+    assert families({"en": 1789, "es": 288}, 0.004, 0.05) == (["en"], ["en", "es"], 0.025)
+    assert families({"en": 5000, "de": 5000}, 0.004, 0.05) == (["de", "en"], [], 0.025)
+    assert families({"en": 60}, 0.004, 0.05) == ([], ["en"], 0.05)
+    assert families({}, 0.004, 0.05) == ([], [], 0.05)
+
+
+def test_small_strata(spark):
+    """A small stratum takes the pool's cutoffs, except those that its own labels contradict."""
+    words = [f"word{i}" for i in range(30)]
+    marked = words[:-3] + ["##", "##", "##"]
+    rows = [(i, " ".join(words), "en") for i in range(3000)]
+    rows += [(3000 + i, " ".join(words), "de") for i in range(50)] + [(3050 + i, " ".join(marked), "fr") for i in range(3)]
+    rows += [(4000 + i, " ".join([f"{w}##" for w in words]), x) for i, x in enumerate(["en", "de", "fr", "it"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.range(5000).selectExpr("id as doc_id", "cast(id < 4000 as int) as quality", "0 as toxic")
+    got = {r.doc_id: r.kept for r in quality_rules(df, labels).collect()}
+    assert all(got[i] for i in range(3053))
+    assert [got[i] for i in range(4000, 4004)] == [False, False, False, True]
