@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skarn.functions.distance import block
+from skarn.functions.distance import block, l2_squared
 from skarn.operators.knn import QUERY_BYTES, matrix
 
 CODES = 256
@@ -148,11 +148,14 @@ def _scan(model: Broadcast, queries: Broadcast, k: int):
     return run
 
 
-def search(codes: DataFrame, model: Model, queries: DataFrame, k: int, nprobe: int = 8, *, qid_col: str = "vec_id", qvec_col: str = "embedding", padded: bool = False) -> DataFrame:
-    """qid, rank, id, distance (approximate, squared): k codes of the nprobe nearest lists for each query.
+def search(codes: DataFrame, model: Model, queries: DataFrame, k: int, nprobe: int = 8, *, qid_col: str = "vec_id", qvec_col: str = "embedding", padded: bool = False, vectors: DataFrame | None = None, candidates: int = 0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """qid, rank, id, distance (squared): the best k of the nprobe nearest lists for each query.
 
+    Distances are those of the codes. With `vectors`, the stored ones (id_col, vec_col), the best
+    `candidates` codes (20 k, if not given) are ranked by their exact distances.
     Queries go out in blocks of at most QUERY_BYTES; the lists that no query of a block probes are pruned.
     """
+    most = k if vectors is None else max(k, candidates or 20 * k)
     spark: SparkSession = codes.sparkSession
     held = spark.sparkContext.broadcast(model)
     q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvec_col).alias("v")).filter("v is not null")
@@ -167,8 +170,12 @@ def search(codes: DataFrame, model: Model, queries: DataFrame, k: int, nprobe: i
         probes = np.argsort(block("l2", x, model.centroids), axis=1, kind="stable")[:, :nprobe]
         sent = spark.sparkContext.broadcast((mine.column(0).to_numpy(), x, probes))
         rows = codes.filter(F.col("cluster_id").isin(np.unique(probes).tolist())).select("vec_id", F.col("cluster_id").cast("int"), "codes")
-        result = result.unionAll(rows.mapInArrow(_scan(held, sent, k), "qid long, id long, distance double"))
+        result = result.unionAll(rows.mapInArrow(_scan(held, sent, most), "qid long, id long, distance double"))
     by = Window.partitionBy("qid").orderBy("distance", "id")
+    if vectors is not None:
+        near = result.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= most).select("qid", "id")
+        rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("_vector")).filter("_vector is not null")
+        result = near.join(rows, "id").join(q, "qid").select("qid", "id", F.round(l2_squared(F.col("_vector"), F.col("v")), 12).alias("distance"))
     top = result.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("qid", "rank", "id", "distance")
     if not padded:
         return top

@@ -215,11 +215,15 @@ def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ivfpq.assign(rows, given), "distance")
 
 
+#: Of 16 lists. Fewer lose too many neighbours of the generated vectors (ivfpq_recall).
+NPROBE = 12
+
+
 @query()
 def ivfpq_train_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     model = ivfpq.train(rows, 16, 8)
-    return ivfpq.search(ivfpq.encode(rows, model), model, query_set(spark, sf_dir), 10, 4)
+    return ivfpq.search(ivfpq.encode(rows, model), model, query_set(spark, sf_dir), 10, NPROBE, vectors=rows)
 
 
 @query()
@@ -235,8 +239,8 @@ def ivfpq_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = ivfpq.train(rows, 16, 8)
     codes, truth = ivfpq.encode(rows, model), knn_join(queries, rows, 10, "l2")
     out = None
-    for nprobe in (1, 4, 16):
-        got = evaluate.recall(ivfpq.search(codes, model, queries, 10, nprobe), truth, 10)
+    for nprobe in (1, 4, NPROBE, 16):
+        got = evaluate.recall(ivfpq.search(codes, model, queries, 10, nprobe, vectors=rows), truth, 10)
         got = got.agg(F.lit(nprobe).alias("nprobe"), F.avg("recall").alias("recall"))
         out = got if out is None else out.unionAll(got)
     return out

@@ -51,3 +51,19 @@ def test_without_sql(spark, sf, name):
 
 def test_graph_recall(spark, sf):
     assert queries.QUERIES["hnsw_graph_recall"](spark, sf).first().recall >= 0.9
+
+
+def mean_recall(spark, name, filter=None):
+    """Of the registered query on 2,000 vectors, for the whole query set against brute force."""
+    sf = "/root/testdata/sf0.1"
+    rows, asked = queries.tagged(spark, sf), queries.query_set(spark, sf)
+    truth = queries.knn_join(asked, queries.where(rows, filter) if filter else rows, 10, "l2")
+    found = queries.QUERIES[name](spark, sf).collect()
+    assert len({r.qid for r in found}) == asked.count() == 100
+    return queries.evaluate.mean_recall(spark.createDataFrame(found), truth, 10)
+
+
+def test_ivfpq_recall(spark):
+    assert mean_recall(spark, "ivfpq_train_search") >= 0.9
+    got = {r.nprobe: r.recall for r in queries.QUERIES["ivfpq_recall"](spark, "/root/testdata/sf0.1").collect()}
+    assert got[queries.NPROBE] >= 0.9
