@@ -28,29 +28,30 @@ def _near(x: np.ndarray, q: np.ndarray, nodes: list[int], metric: DistanceMetric
 
 
 def beam(x: np.ndarray, links: dict[int, list[int]] | list[list[int]], q: np.ndarray, starts: list[int], width: int, metric: DistanceMetric, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
-    """The `width` nearest nodes that a best-first walk finds, with their distances. Only allowed nodes are entered."""
-    starts = [s for s in dict.fromkeys(starts) if allowed is None or allowed[s]]
+    """The `width` nearest nodes that a best-first walk finds, with their distances. It walks over all nodes; only allowed ones count."""
+    starts = list(dict.fromkeys(starts))
     if not starts:
         return []
     seen = set(starts)
     open_ = [(float(d), s) for d, s in zip(_near(x, q, starts, metric), starts)]
-    best = sorted((-d, -s) for d, s in open_)
+    best = sorted((-d, -s) for d, s in open_ if allowed is None or allowed[s])
     heapq.heapify(open_)
     heapq.heapify(best)
     while open_:
         d, node = heapq.heappop(open_)
         if len(best) >= width and d > -best[0][0]:
             break
-        new = [n for n in links[node] if n not in seen and (allowed is None or allowed[n])]
+        new = [n for n in links[node] if n not in seen]
         if not new:
             continue
         seen.update(new)
         for e, n in zip(_near(x, q, new, metric).tolist(), new):
             if len(best) < width or e < -best[0][0]:
                 heapq.heappush(open_, (e, n))
-                heapq.heappush(best, (-e, -n))
-                if len(best) > width:
-                    heapq.heappop(best)
+                if allowed is None or allowed[n]:
+                    heapq.heappush(best, (-e, -n))
+                    if len(best) > width:
+                        heapq.heappop(best)
     return sorted((-d, -n) for d, n in best)
 
 
@@ -139,7 +140,7 @@ class Vamana:
         return int(nodes[block("l2", self.x[nodes].mean(axis=0)[None, :], self.x[nodes])[0].argmin()])
 
     def search(self, q: np.ndarray, k: int, width: int = 100, label: int | None = None) -> list[tuple[float, int]]:
-        """With a label, only nodes that have the tag are entered and returned, from the tag's medoid."""
+        """With a label, only nodes that have the tag are returned; the walk starts at the tag's medoid and passes through others."""
         if self.start < 0 or (label is not None and label not in self.tag_start):
             return []
         if label is None:

@@ -271,9 +271,11 @@ def hnsw_graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def vamana_tag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole query set, among the vectors with a tag."""
     rows = tagged(spark, sf_dir)
+    pairs = [(r.vec_id, list(r.embedding)) for r in query_set(spark, sf_dir).select("vec_id", "embedding").collect()]
     graphs = graph.build(rows, "vamana", tags_col="tags", part=1000, degree=16, width=32)
-    return graph.search(graphs, [(0, first_vector(spark, sf_dir))], 10, 64, label=22)
+    return graph.search(graphs, pairs, 10, 64, label=22)
 
 
 # -- filters -------------------------------------------------------------------------------------------

@@ -67,3 +67,8 @@ def test_ivfpq_recall(spark):
     assert mean_recall(spark, "ivfpq_train_search") >= 0.9
     got = {r.nprobe: r.recall for r in queries.QUERIES["ivfpq_recall"](spark, "/root/testdata/sf0.1").collect()}
     assert got[queries.NPROBE] >= 0.9
+
+
+def test_tag_recall(spark):
+    got = mean_recall(spark, "vamana_tag_search", {"tags": {"$contains": 22}})
+    assert got >= 0.9
