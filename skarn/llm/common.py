@@ -49,6 +49,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_hash(text: Column) -> Column:
+    """32 bits that tell unlike texts under one id apart. Null is empty."""
+    return F.hash(F.coalesce(text, F.lit("")))
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, row_id: Column, size: str, total: int) -> DataFrame:
     """rows LEFT JOIN groups on a string key, safe when one key has a third of all rows.
 

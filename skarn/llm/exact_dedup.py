@@ -234,12 +234,13 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lim
 def drop_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", limit: int = 96 << 20) -> DataFrame:
     """The rows of docs, whole, that exact_dedup() keeps; of rows that repeat an id and its text, one."""
     result = stored(exact_dedup(docs, text, id_col, limit), "copies")
-    drop = result.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(normalised(F.col(text)).cast("binary"), 256)
-    rows = docs.withColumn("_mine", sha)
-    rows = rows.join(drop, rows[id_col].cast("long").eqNullSafe(drop["_id"]) & (rows["_mine"] == drop["_sha"]), "left_anti")
+    drop = result.filter(~F.col("kept")).select(F.col("doc_id").cast("long").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    names = [f"_in_{i}" for i in range(len(docs.columns))]  # the input's own names can't clash with those of the join
+    ident, t = (F.col(names[docs.columns.index(c)]) for c in (id_col, text))
+    rows = docs.toDF(*names).withColumn("_mine", F.sha2(normalised(t).cast("binary"), 256))
+    rows = rows.join(drop, ident.cast("long").eqNullSafe(F.col("_id")) & (F.col("_mine") == F.col("_sha")), "left_anti")
     repeated = result.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").limit(1).count()
     if repeated:
-        by = Window.partitionBy(id_col, "_mine").orderBy(F.lit(0))
-        rows = rows.withColumn("_nth", F.row_number().over(by)).filter("_nth = 1").drop("_nth")
-    return rows.drop("_mine")
+        by = Window.partitionBy(ident, "_mine").orderBy(F.lit(0))
+        rows = rows.withColumn("_nth", F.row_number().over(by)).filter("_nth = 1")
+    return rows.select(*names).toDF(*docs.columns)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm import kernel
-from skarn.llm.common import attach, partitions, stored
+from skarn.llm.common import attach, partitions, stored, text_hash
 from skarn.llm.components import connected_components
 
 U64, MASK48 = np.uint64, np.uint64((1 << 48) - 1)
@@ -80,8 +80,8 @@ def _emit(parts: int, k: int):
 
     def flush(held: list, ids: list) -> Iterator[pa.RecordBatch]:
         h, n, e = (np.concatenate(x) for x in zip(*held))
-        doc = np.concatenate(ids)
-        rows = [(int(np.sum(doc[:1], dtype=np.int64)) % parts, 0, doc.tobytes(), n.astype("<i4").tobytes(), e.tobytes(), None, None)]
+        doc, digest = (np.concatenate(x) for x in zip(*ids))
+        rows = [(int(np.sum(doc[:1], dtype=np.int64)) % parts, 0, doc.tobytes(), n.astype("<i4").tobytes(), e.tobytes(), digest.astype("<i4").tobytes(), None)]
         which = np.lexsort((n, e))
         new = np.ones(len(e), bool)
         new[1:] = (e[which][1:] != e[which][:-1]) | (n[which][1:] != n[which][:-1])
@@ -101,11 +101,11 @@ def _emit(parts: int, k: int):
         size = 0
         for batch in batches:
             data, offsets = kernel.buffers(batch.column(0))
-            who = batch.column(1).fill_null(NO_ID).to_numpy()
+            who, digest = batch.column(1).fill_null(NO_ID).to_numpy(), batch.column(2).to_numpy()
             for i, j in kernel.slices(offsets):
                 h, _, n, e = sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 held.append((h, n, e))
-                ids.append(who[i:j])
+                ids.append((who[i:j], digest[i:j]))
                 size += len(h) + j - i
                 if size > FLUSH:
                     yield from flush(held, ids)
@@ -181,14 +181,14 @@ def _shared(parts: int):
 
 def _reduced(percent: int):
     """By class partition: documents' rows, and of each class that may be similar to another its shared n-grams in order."""
-    names = ["doc_id", "entity", "n", "prefix", "tokens", "df"]
+    names = ["doc_id", "text_hash", "entity", "n", "prefix", "tokens", "df"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, by = _gather(batches)
         for r in lines:
             doc, e, n = np.frombuffer(r[2], np.int64), np.frombuffer(r[4], np.int64), np.frombuffer(r[3], "<i4")
             nothing = [pa.nulls(len(doc), t) for t in (pa.int32(), pa.binary(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == NO_ID), pa.array(e), pa.array(n), *nothing], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == NO_ID), pa.array(np.frombuffer(r[5], "<i4")), pa.array(e), pa.array(n), *nothing], names=names)
         for rows in by.values():
             token = np.concatenate([np.frombuffer(r[2], U64) for r in rows])
             df = np.concatenate([np.frombuffer(r[3], "<u2") for r in rows])
@@ -212,7 +212,7 @@ def _reduced(percent: int):
             for i in range(0, len(out), 1000):
                 cols = list(zip(*out[i : i + 1000]))
                 types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(cols[0]), pa.int64()), *[pa.array(c, t) for c, t in zip(cols, types)]], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(cols[0]), pa.int64()), pa.nulls(len(cols[0]), pa.int32()), *[pa.array(c, t) for c, t in zip(cols, types)]], names=names)
 
     return run
 
@@ -401,7 +401,7 @@ def _found(e: list, n: list, more: list) -> pa.RecordBatch:
 
 
 def ngram_join(docs: DataFrame, percent: int = 70, k: int = 3, text: str = "text", id_col: str = "doc_id", block: int = 1024) -> DataFrame:
-    """One row per document: doc_id, n_shingles, n_similar, component_id.
+    """One row per document: doc_id, n_shingles, n_similar, component_id, text_hash (32 bits, to tell rows of one id apart).
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case; a set is the distinct k-word shingles, or the
     whole sequence of fewer words. Two documents link when their Jaccard similarity is at least
@@ -416,11 +416,12 @@ def ngram_join(docs: DataFrame, percent: int = 70, k: int = 3, text: str = "text
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    rows = docs.select(F.col(text).cast("string").alias("_text"), F.col(id_col).cast("long").alias("doc_id"))
+    t = F.col(text).cast("string")
+    rows = docs.select(t.alias("_text"), F.col(id_col).cast("long").alias("doc_id"), text_hash(t).alias("text_hash"))
     tokens = rows.mapInArrow(_emit(parts, k), ROWS).repartitionById(parts, F.col("part"))
     back = tokens.mapInArrow(_shared(parts), ROWS).repartitionById(parts, F.col("part"))
-    reduced = stored(back.mapInArrow(_reduced(percent), "doc_id long, entity long, n int, prefix int, tokens binary, df binary"), "reduced")
-    lines = reduced.filter("prefix is null").select("doc_id", "entity", "n")
+    reduced = stored(back.mapInArrow(_reduced(percent), "doc_id long, text_hash int, entity long, n int, prefix int, tokens binary, df binary"), "reduced")
+    lines = reduced.filter("prefix is null").select("doc_id", "text_hash", "entity", "n")
     classes = lines.groupBy("entity", "n").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("low"))
     sets = reduced.filter("prefix is not null").select("entity", "n", "prefix", "tokens", "df")
 
@@ -445,8 +446,8 @@ def ngram_join(docs: DataFrame, percent: int = 70, k: int = 3, text: str = "text
     groups = classes.join(linked, ["entity", "n"], "left").filter("n > 0 and (size > 1 or linked is not null)")
     groups = groups.join(component, F.col("low") == F.col("node"), "left")
     groups = groups.select(_key().alias("key"), "size", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_similar"), F.coalesce("component", "low").alias("component_id"))
-    out = attach(lines.select("doc_id", F.col("n").cast("long").alias("n_shingles"), _key().alias("key")), stored(groups, "similar"), "key", F.col("doc_id"), "size", lines.count())
-    return out.select("doc_id", "n_shingles", F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = attach(lines.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), _key().alias("key")), stored(groups, "similar"), "key", F.col("doc_id"), "size", lines.count())
+    return out.select("doc_id", "n_shingles", F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
 
 
 def _key() -> F.Column:
@@ -456,5 +457,8 @@ def _key() -> F.Column:
 def drop_similar(docs: DataFrame, percent: int = 70, k: int = 3, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs, whole, less those that similarity links to a smaller id. A row with a null id can't be named and stays."""
     result = ngram_join(docs, percent, k, text, id_col)
-    drop = result.filter("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(drop, docs[id_col].cast("long") == drop["_id"], "left_anti")
+    drop = result.filter("component_id < doc_id").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    names = [f"_in_{i}" for i in range(len(docs.columns))]  # the input's own names can't clash with those of the join
+    ident, t = (F.col(names[docs.columns.index(c)]) for c in (id_col, text))
+    rows = docs.toDF(*names)
+    return rows.join(drop, (ident.cast("long") == F.col("_id")) & (text_hash(t.cast("string")) == F.col("_hash")), "left_anti").toDF(*docs.columns)

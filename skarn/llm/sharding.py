@@ -6,6 +6,7 @@ import heapq
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skarn.llm.common import attach, spread_rank, stored
 
@@ -45,8 +46,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, text: str = "text", id_co
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, group_sha256.
 
     Law `bytes`: loads are near equal, and equal texts share a shard. A document's size is the
-    UTF-8 bytes of its text plus 8. A null text has size 8 and null text_crc32 is avoided: it
-    counts as empty, but null texts are a group of their own. Repeated rows are documents of one group. Slots run
+    UTF-8 bytes of its text plus 8. A null text has size 8 and the text_crc32 of an empty one (0),
+    but null texts are a group of their own. Repeated rows are documents of one group. Slots run
     from 0 in each shard, in the order of doc_id. Fewer groups than shards leave shards empty.
 
     The driver gets the distinct group sizes with their counts, not the groups. Distinct sizes sum
@@ -74,10 +75,19 @@ def shard_documents(docs: DataFrame, shards: int = 24, text: str = "text", id_co
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, text: str = "text", id_col: str = "doc_id") -> None:
-    """Write the documents as one folder per shard, in slot order within each file."""
+    """Write the documents as one folder per shard, in slot order within each file.
+
+    All columns stay, with `shard` and `slot` (`shard_of_plan`, `slot_of_plan` where the input has such names) added.
+    """
     plan = shard_documents(docs, shards, text, id_col).select(F.col("doc_id").alias("_id"), "group_sha256", "shard", "slot")
-    t = F.col(text).cast("string")
-    mine = docs.withColumn("_sha", F.coalesce(F.sha2(t.cast("binary"), 256), F.lit("null")))
-    on = mine[id_col].eqNullSafe(plan["_id"]) & (mine["_sha"] == plan["group_sha256"])
-    out = mine.join(plan.dropDuplicates(["_id", "group_sha256"]), on).drop("_id", "_sha", "group_sha256")
-    out.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    by = Window.partitionBy("_id", "group_sha256").orderBy("slot")
+    plan = plan.withColumn("_nth", F.row_number().over(by))  # rows that repeat an id and its text take its slots in turn
+    names = [f"_in_{i}" for i in range(len(docs.columns))]  # the input's own names can't clash with those of the join
+    ident, t = (F.col(names[docs.columns.index(c)]) for c in (id_col, text))
+    sha = F.coalesce(F.sha2(t.cast("string").cast("binary"), 256), F.lit("null"))
+    mine = docs.toDF(*names).withColumn("_sha", sha)
+    mine = mine.withColumn("_n", F.row_number().over(Window.partitionBy(ident, "_sha").orderBy(F.lit(0))))
+    out = mine.join(plan, ident.eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("group_sha256")) & (F.col("_n") == F.col("_nth"))).select(*names, "shard", "slot")
+    extra = [c if c not in docs.columns else f"{c}_of_plan" for c in ("shard", "slot")]
+    out = out.toDF(*docs.columns, *extra)
+    out.repartition(extra[0]).sortWithinPartitions(*extra).write.partitionBy(extra[0]).parquet(path)

@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skarn.llm import kernel
-from skarn.llm.common import partitions, stored
+from skarn.llm.common import partitions, stored, text_hash
 from skarn.llm.ngram_join import NO_ID, ROWS, U64, _gather, _in_parts
 
 FLUSH = 2_000_000
+#: A document is an id and a hash of its text, so that unlike texts under one id are documents of their own.
+DOC = np.dtype([("id", "<i8"), ("text", "<i4")])
 
 
 def minimisers(data: np.ndarray, offsets: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,7 +40,7 @@ def minimisers(data: np.ndarray, offsets: np.ndarray, k: int, w: int) -> tuple[n
 
 
 def _link_rows(doc: np.ndarray, pos: np.ndarray, owner: np.ndarray, place: np.ndarray, parts: int, kind: int) -> list[tuple]:
-    part = (kernel.mix(doc.astype(np.int64).view(U64)) % U64(parts)).astype(np.int64)
+    part = (kernel.mix(doc["id"].astype(np.int64).view(U64) + doc["text"].astype(np.int64).view(U64)) % U64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[order], np.arange(parts + 1))
     out = []
@@ -51,7 +53,7 @@ def _link_rows(doc: np.ndarray, pos: np.ndarray, owner: np.ndarray, place: np.nd
 
 def _to_first(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order by seed, document and place; each one's first; and whether it lies in the first's document."""
-    order = np.lexsort((pos, doc, h))
+    order = np.lexsort((pos, doc["text"], doc["id"], h))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
@@ -72,7 +74,7 @@ def _seeds(parts: int, k: int, w: int):
         edges = np.searchsorted(part[order], np.arange(parts + 1))
         for p in range(parts):
             i = order[edges[p] : edges[p + 1]]
-            i = i[np.argsort(doc[i], kind="stable")]
+            i = i[np.lexsort((doc["text"][i], doc["id"][i]))]
             if len(i):
                 d = doc[i]
                 lead = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
@@ -83,7 +85,8 @@ def _seeds(parts: int, k: int, w: int):
         held, size = [], 0
         for batch in batches:
             data, offsets = kernel.buffers(batch.column(0))
-            who = batch.column(1).to_numpy()
+            who = np.empty(batch.num_rows, DOC)
+            who["id"], who["text"] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for i, j in kernel.slices(offsets):
                 h, doc, pos = minimisers(kernel.lowered(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i], k, w)
                 held.append((h, who[i:j][doc], pos))
@@ -106,7 +109,7 @@ def _links(parts: int):
         for rows in by.values():
             h = np.concatenate([np.frombuffer(r[2], U64) for r in rows])
             pos = np.concatenate([np.frombuffer(r[3], "<i4") for r in rows])
-            doc = np.concatenate([np.repeat(np.frombuffer(r[4], np.int64), np.frombuffer(r[5], "<i4")) for r in rows])
+            doc = np.concatenate([np.repeat(np.frombuffer(r[4], DOC), np.frombuffer(r[5], "<i4")) for r in rows])
             order, first, own = _to_first(h, doc, pos)
             doc, pos, rest = doc[order], pos[order], ~own
             yield from _in_parts(_link_rows(doc[rest], pos[rest], doc[first[rest]], pos[first[rest]], parts, 1))
@@ -154,7 +157,7 @@ def chain(a: np.ndarray, b: np.ndarray, k: int, gap: float) -> list[np.ndarray]:
     return out
 
 
-CHAINS = "doc long, owner long, no int, lo int, hi int, owner_lo int, owner_hi int, a binary, b binary"
+CHAINS = "doc long, doc_text int, owner long, owner_text int, no int, lo int, hi int, owner_lo int, owner_hi int, a binary, b binary"
 
 
 def _chains(k: int, gap: float, widest: int, reach: int):
@@ -163,21 +166,22 @@ def _chains(k: int, gap: float, widest: int, reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, by = _gather(batches)
         for rows in by.values():
-            doc, owner = (np.concatenate([np.frombuffer(r[i], np.int64) for r in rows]) for i in (2, 4))
+            doc, owner = (np.concatenate([np.frombuffer(r[i], DOC) for r in rows]) for i in (2, 4))
             pos, place = (np.concatenate([np.frombuffer(r[i], "<i4") for r in rows]) for i in (3, 5))
-            order = np.lexsort((place, pos, owner, doc))
+            order = np.lexsort((place, pos, owner["text"], owner["id"], doc["text"], doc["id"]))
             doc, owner, pos, place = doc[order], owner[order], pos[order], place[order]
             first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1])]))
             size = np.diff(np.append(first, len(doc)))
             out: list[tuple] = []
             for lo, n in zip(first.tolist(), size.tolist()):
                 a, b = pos[lo : lo + n], place[lo : lo + n]
+                who = (*doc[lo].item(), *owner[lo].item())
                 no = 0
                 for c in chain(a, b, k, gap):
                     cut = np.flatnonzero((np.diff(a[c]) > widest + k) | (np.diff(b[c]) > widest + k)) + 1
                     for part in np.split(c, cut):
                         x, y = a[part], b[part]
-                        out.append((int(doc[lo]), int(owner[lo]), no, max(0, int(x[0]) - reach), int(x[-1]) + k + reach, max(0, int(y[0]) - reach), int(y[-1]) + k + reach, x.astype("<i4").tobytes(), y.astype("<i4").tobytes()))
+                        out.append((*who, no, max(0, int(x[0]) - reach), int(x[-1]) + k + reach, max(0, int(y[0]) - reach), int(y[-1]) + k + reach, x.astype("<i4").tobytes(), y.astype("<i4").tobytes()))
                         no += 1
                 if len(out) > 5000:
                     yield _table(out, CHAINS)
@@ -195,27 +199,25 @@ def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields])
 
 
-WORDS = "doc long, owner long, no int, side int, lo int, a binary, b binary"
+WORDS = "doc long, doc_text int, owner long, owner_text int, no int, side int, lo int, a binary, b binary"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by id, the text before its requests: each request's words, as 32-bit hashes."""
+    """Rows sorted by document, the text before its requests: each request's words, as 32-bit hashes."""
     now, text, words = None, None, None
     for batch in batches:
         out: list[tuple] = []
-        for ident, kind, t, doc, owner, no, side, lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
+        for ident, digest, kind, t, doc, doc_text, owner, owner_text, no, side, lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
             if kind == 0:
-                if ident != now:
-                    now, text, words = ident, t, None
-                continue
-            if ident != now:
+                if (ident, digest) != now:
+                    now, text, words = (ident, digest), t, None
                 continue
             if words is None:
                 data, offsets = kernel.buffers(pa.array([text or ""], pa.large_string()))
                 data = kernel.lowered(data)
                 starts, ends, _ = kernel.words(data, offsets)
                 words = kernel.word_hashes(data, starts, ends).astype(np.uint32)
-            out.append((doc, owner, no, side, lo, words[lo:hi].tobytes(), None))
+            out.append((doc, doc_text, owner, owner_text, no, side, lo, words[lo:hi].tobytes(), None))
         yield _table(out, WORDS)
 
 
@@ -298,7 +300,7 @@ def align(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, k: int, id
     ]
 
 
-SEGMENTS = "doc long, owner long, start int, end int, owner_start int, owner_end int, equal int"
+SEGMENTS = "doc long, doc_text int, owner long, start int, end int, owner_start int, owner_end int, equal int"
 
 
 def _align(k: int, identity: float):
@@ -308,9 +310,9 @@ def _align(k: int, identity: float):
         key, seeds, mine = None, None, None
         for batch in batches:
             out: list[tuple] = []
-            for doc, owner, no, side, lo, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                if (doc, owner, no) != key:
-                    key, seeds, mine = (doc, owner, no), None, None
+            for doc, doc_text, owner, owner_text, no, side, lo, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if (doc, doc_text, owner, owner_text, no) != key:
+                    key, seeds, mine = (doc, doc_text, owner, owner_text, no), None, None
                 if side == 0:
                     seeds = np.frombuffer(a, "<i4"), np.frombuffer(b, "<i4")
                 elif side == 1:
@@ -318,59 +320,61 @@ def _align(k: int, identity: float):
                 elif seeds is not None and mine is not None:
                     x, y = mine[1], np.frombuffer(a, np.uint32)
                     s = seeds[0] - mine[0], seeds[1] - lo
-                    if s[0][-1] + k > len(x) or s[1][-1] + k > len(y):
-                        continue  # another text has the same id
                     for start, end, ostart, oend, equal in align(x, y, *s, k, identity):
-                        out.append((doc, owner, start + mine[0], end + mine[0], ostart + lo, oend + lo, equal))
+                        out.append((doc, doc_text, owner, start + mine[0], end + mine[0], ostart + lo, oend + lo, equal))
             yield _table(out, SEGMENTS)
 
     return run
 
 
 def segments(docs: DataFrame, k: int = 8, w: int = 8, gap: float = 0.1, widest: int = 48, identity: float = 0.8, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Aligned pairs: words start..end of doc are words owner_start..owner_end of owner, a document with a smaller id."""
+    """Aligned pairs: words start..end of doc are words owner_start..owner_end of owner, an earlier document.
+
+    A document is an id with a text (doc_text is the text's 32-bit hash); documents are ordered by both.
+    """
     spark = docs.sparkSession
     parts = partitions(spark)
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"))
+    t = F.col(text).cast("string")
+    rows = docs.filter(F.col(id_col).isNotNull()).select(t.alias("text"), F.col(id_col).cast("long").alias("id"), text_hash(t).alias("digest"))
     seeds = rows.mapInArrow(_seeds(parts, k, w), ROWS).repartitionById(parts, F.col("part"))
     links = seeds.mapInArrow(_links(parts), ROWS).repartitionById(parts, F.col("part"))
     chains = stored(links.mapInArrow(_chains(k, gap, widest, 64), CHAINS), "chains")
-    none = {"doc": "long", "owner": "long", "no": "int", "side": "int", "lo": "int", "hi": "int"}
-    texts = rows.select("id", F.lit(0).alias("kind"), "text", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    key = ["doc", "doc_text", "owner", "owner_text", "no"]
+    none = {"doc": "long", "doc_text": "int", "owner": "long", "owner_text": "int", "no": "int", "side": "int", "lo": "int", "hi": "int"}
+    texts = rows.select("id", "digest", F.lit(0).alias("kind"), "text", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
     wanted = [
-        chains.select(F.col(who).alias("id"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("text"), "doc", "owner", "no", F.lit(side).alias("side"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+        chains.select(F.col(who).alias("id"), F.col(f"{who}_text").alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("text"), *key, F.lit(side).alias("side"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
         for who, side, lo, hi in (("doc", 1, "lo", "hi"), ("owner", 2, "owner_lo", "owner_hi"))
     ]
-    both = texts.unionAll(wanted[0]).unionAll(wanted[1]).repartition(parts, "id").sortWithinPartitions("id", "kind")
+    both = texts.unionAll(wanted[0]).unionAll(wanted[1]).repartition(parts, "id", "digest").sortWithinPartitions("id", "digest", "kind")
     words = both.mapInArrow(_fetch, WORDS)
-    lines = chains.select("doc", "owner", "no", F.lit(0).alias("side"), F.lit(0).alias("lo"), "a", "b")
-    pairs = words.unionAll(lines).repartition(parts, "doc", "owner", "no").sortWithinPartitions("doc", "owner", "no", "side")
+    lines = chains.select(*key, F.lit(0).alias("side"), F.lit(0).alias("lo"), "a", "b")
+    pairs = words.unionAll(lines).repartition(parts, *key).sortWithinPartitions(*key, "side")
     return pairs.mapInArrow(_align(k, identity), SEGMENTS)
 
 
 def repeated_passages(docs: DataFrame, words: int = 50, join: int = 3, k: int = 8, w: int = 8, gap: float = 0.1, widest: int = 48, identity: float = 0.8, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per passage: doc_id, start_word, end_word (exclusive), n_words, owner_id, owner_ids.
+    """One row per passage: doc_id, start_word, end_word (exclusive), n_words, owner_id, owner_ids, text_hash.
 
     A passage is a run of at least `words` words of a document that documents with smaller ids have too,
     nearly or exactly; of each passage the first document's stays unlisted. Its parts may come from
     several owners (owner_ids; owner_id has the longest part): aligned segments, of which a part
     `identity` of the words is equal, are merged if at most `join` words lie between. Words are
-    [^\\x20\\x09-\\x0D]+ with A-Z in lower case. Null, empty and short texts have no passage; rows with a null id take no part; rows
-    that share an id are one document, of which one text is compared. Other columns are not read.
+    [^\\x20\\x09-\\x0D]+ with A-Z in lower case. Null, empty and short texts have no passage; rows with a null id take no part.
+    Rows that share an id and a text are one document. Unlike texts under one id are documents of their own, told
+    apart by text_hash (32 bits), by which they are also ordered; an owner then may have the same id. Other columns are not read.
     """
     found = stored(segments(docs, k, w, gap, widest, identity, text, id_col), "segments")
-    by = Window.partitionBy("doc").orderBy("start", "end", "owner")
+    by = Window.partitionBy("doc", "doc_text").orderBy("start", "end", "owner")
     before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     new = found.withColumn("_new", F.when(F.col("start") > before + join, 1).otherwise(0))
     run = new.withColumn("_run", F.sum("_new").over(by))
-    got = run.groupBy("doc", "_run").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.max_by("owner", F.struct(F.col("end") - F.col("start"), -F.col("owner"))).alias("owner_id"), F.sort_array(F.collect_set("owner")).alias("owner_ids"))
+    got = run.groupBy("doc", "doc_text", "_run").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.max_by("owner", F.struct(F.col("end") - F.col("start"), -F.col("owner"))).alias("owner_id"), F.sort_array(F.collect_set("owner")).alias("owner_ids"))
     got = got.withColumn("n_words", F.col("end_word") - F.col("start_word")).filter(F.col("n_words") >= words)
-    return got.select(F.col("doc").alias("doc_id"), "start_word", "end_word", "n_words", "owner_id", "owner_ids")
-
+    return got.select(F.col("doc").alias("doc_id"), "start_word", "end_word", "n_words", "owner_id", "owner_ids", F.col("doc_text").alias("text_hash"))
 
-def _cut(names: list[str]):
-    at = names.index("_text")
 
+def _cut(at: int):
     def left_of(t: str, spans: list[dict]) -> str:
         raw = t.encode()
         data = np.frombuffer(raw, np.uint8)
@@ -383,8 +387,8 @@ def _cut(names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(len(names))
-            cols = batch.columns[: len(names)]
+            *cols, spans = batch.columns
+            names = batch.schema.names[:-1]
             cut = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
             if len(cut):
                 texts = cols[at].to_pylist()
@@ -401,10 +405,10 @@ def _cut(names: list[str]):
 
 
 def cut_passages(docs: DataFrame, passages: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs without their listed passages. A document of which no word is left goes; others keep all their columns."""
-    spans = passages.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
-    names = [("_text" if c == text else c) for c in docs.columns]
-    rows = docs.withColumnRenamed(text, "_text")
-    schema = rows.schema
-    rows = rows.join(spans, F.col(id_col) == F.col("_id"), "left").select(*names, "_spans")
-    return rows.mapInArrow(_cut(names), schema).withColumnRenamed("_text", text)
+    """docs without their listed passages, each cut from the text it was found in. A document of which no word is left goes; others keep all their columns."""
+    spans = passages.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
+    at = docs.columns.index(text)
+    rows = docs.toDF(*[f"_in_{i}" for i in range(len(docs.columns))])  # the input's own names can't clash with those of the join
+    mine = F.col(f"_in_{docs.columns.index(id_col)}").cast("long") == F.col("_id")
+    rows = rows.join(spans, mine & (text_hash(F.col(f"_in_{at}").cast("string")) == F.col("_hash")), "left").select(*rows.columns, "_spans")
+    return rows.mapInArrow(_cut(at), rows.drop("_spans").schema).toDF(*docs.columns)

@@ -110,3 +110,20 @@ def test_hot_passage(spark):
     df = spark.range(900).selectExpr("id as doc_id", f"case when id % 3 = 0 then concat('t', id, ' {hot} u', id) else concat('x', id, ' y', id) end as text").repartition(6)
     got = repeated_passages(df)
     assert got.count() == 299 and got.agg({"n_words": "min"}).first()[0] == 60
+
+
+def test_unlike_texts_under_one_id(spark):
+    """Each text is compared and cut on its own, in whatever order the rows come."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, passage), (2, "x y z " * 4 + passage), (2, "one short text"), (2, ""), (3, "w0 other " + passage), (3, passage + " end")]
+    seen = set()
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = repeated_passages(df)
+        found = tuple(sorted((r.doc_id, r.start_word, r.end_word) for r in got.collect()))
+        left = cut_passages(df, got).collect()
+        seen.add((found, tuple(sorted(map(tuple, left)))))
+    assert len(seen) == 1
+    found, left = seen.pop()
+    assert found == ((2, 12, 72), (3, 0, 60), (3, 2, 62))
+    assert left == ((1, passage), (2, ""), (2, "one short text"), (2, "x y z " * 4), (3, "end"), (3, "w0 other "))
