@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skarn.llm.common import HOT_PARTS, drop_stored, partitions, stored
+
 LETTERS = 128
 CELLS = 3 << 20
 
@@ -80,7 +83,12 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-9)
 
 
-def _learn(dim: int):
+def _learn(dim: int, most: int = 512):
+    """Sums of the unit bundles by language, at most `most` languages at a time."""
+
+    def out(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "vector"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -90,29 +98,71 @@ def _learn(dim: int):
                 for lang, x in zip(langs[at : at + len(v)], v):
                     sums[lang] = sums.get(lang, 0) + x.astype(np.float64)
                 at += len(v)
+            if len(sums) > most:
+                yield out(sums)
+                sums = {}
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "vector"])
+            yield out(sums)
 
     return run
 
 
-def _predict(model: Broadcast, dim: int):
+def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by language: the unit mean of each language that has a letter."""
+    now, total = None, None
+    for batch in batches:
+        done: list[tuple[str, bytes]] = []
+        for lang, v in zip(*(c.to_pylist() for c in batch.columns)):
+            if lang != now:
+                if now is not None and np.any(total):
+                    done.append((now, _unit(total).tobytes()))
+                now, total = lang, 0
+            total = total + np.frombuffer(v)
+        yield _named(done)
+    if now is not None and np.any(total):
+        yield _named([(now, _unit(total).tobytes())])
+
+
+def _named(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+    lang, v = zip(*rows) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(v, pa.binary())], names=["lang", "vector"])
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, total = 0, 0
+    for batch in batches:
+        for v in batch.column(0).to_pylist():
+            n, total = n + 1, total + np.frombuffer(v)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "vector"])
+
+
+def _predict(model: Model, dim: int):
+    def held(block: Broadcast) -> tuple[list[str], np.ndarray]:
+        value = block.value
+        if len(model.blocks) > 16:
+            del block._value  # a worker holds one block of many at a time
+        return value
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, prototypes, centre = model.value
         for batch in batches:
             pred: list[str] = []
             score: list[float] = []
             for i in range(0, batch.num_rows, 2048):
                 texts = [t or "" for t in batch.column(0).slice(i, 2048).to_pylist()]
                 for v, letters in _space(dim).bundle(texts):
-                    if not langs:
-                        pred += ["und"] * len(v)
-                        score += [0.0] * len(v)
-                        continue
-                    cos = _unit(_unit(v) - centre) @ prototypes.T
-                    best = cos.argmax(axis=1)
-                    pred += [langs[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist())]
-                    score += np.where(letters, np.clip(cos.max(axis=1), 0, 1), 0).astype(float).tolist()
+                    x = _unit(_unit(v) - model.centre) if model.blocks else v
+                    name, top = ["und"] * len(v), np.full(len(v), -np.inf, np.float32)
+                    for block in model.blocks:
+                        langs, prototypes = held(block)
+                        cos = x @ prototypes.T
+                        best, most = cos.argmax(axis=1).tolist(), cos.max(axis=1)
+                        for r in np.flatnonzero(letters & (most >= top)).tolist():
+                            if most[r] > top[r] or langs[best[r]] < name[r]:
+                                name[r] = langs[best[r]]
+                        top = np.maximum(top, most)
+                    pred += name
+                    score += np.where(letters & (top > 0), np.minimum(top, 1), 0).astype(float).tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
 
     return run
@@ -122,43 +172,71 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def language_model(docs: DataFrame, sample: int = 3000, dim: int = 1024, max_langs: int = 512, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, prototypes and centre, learned from rows whose id isn't held out.
+def _picked(docs: DataFrame, sample: int, text: str, lang: str, id_col: str) -> DataFrame:
+    """About `sample` labelled rows of each language, those with the smallest hashes of their ids (all, where there are fewer).
 
-    The classifier is fitted on about `sample` labelled rows of each language (all, where there are
-    fewer), those with the smallest hashes of their ids. max_langs bounds what reaches the driver.
+    At most HOT_PARTS languages have more than their even part of all labelled rows; their counts are collected. The
+    rows of all others, of which none is hot, join their counts.
     """
-    rows = docs.filter(~held_out(F.col(id_col)) & F.col(lang).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang).cast("string")).count().limit(max_langs + 1).collect()}
-    if len(sizes) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    if not sizes:
-        return [], np.zeros((0, dim), np.float32), np.zeros(dim, np.float32)
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, -(-(1 << 20) * sample // max(n, sample)))])
-    picked = rows.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < share[F.col(lang).cast("string")])
-    picked = picked.select(F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("lang")).repartition(16)
-    sums: dict[str, np.ndarray] = {}
-    for r in picked.mapInArrow(_learn(dim), "lang string, vector binary").collect():
-        sums[r.lang] = sums.get(r.lang, 0) + np.frombuffer(r.vector)
-    langs = sorted(k for k, v in sums.items() if np.any(v))
-    if not langs:
-        return [], np.zeros((0, dim), np.float32), np.zeros(dim, np.float32)
-    means = _unit(np.stack([sums[k] for k in langs]))
-    centre = means.mean(axis=0) if len(langs) > 1 else np.zeros(dim)
-    return langs, _unit(means - centre).astype(np.float32), centre.astype(np.float32)
-
-
-def language_id(docs: DataFrame, sample: int = 3000, dim: int = 1024, max_langs: int = 512, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:
+    rows = docs.filter(~held_out(F.col(id_col)) & F.col(id_col).isNotNull() & F.col(lang).isNotNull())
+    rows = rows.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)).alias("_hash"))
+    sizes = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "languages")
+    total, languages = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count(F.lit(1))).first()
+    hot = {r.lang: r["_n"] for r in sizes.filter(F.col("_n") > max(sample, total // HOT_PARTS)).collect()}
+    picked = []
+    if hot:
+        share = F.create_map(*[F.lit(x) for k, n in hot.items() for x in (k, -(-(1 << 20) * sample // n))])
+        picked.append(rows.filter(F.col("_hash") < share[F.col("lang")]))
+    if languages > len(hot) or not hot:
+        rest = sizes.join(rows.filter(~F.col("lang").isin(list(hot))) if hot else rows, "lang")
+        picked.append(rest.filter(F.col("_hash") < F.ceil(F.lit(float((1 << 20) * sample)) / F.greatest("_n", F.lit(sample)))))
+    picked = [p.select("text", "lang") for p in picked]
+    return picked[0].unionAll(picked[1]) if len(picked) == 2 else picked[0]
+
+
+class Model(NamedTuple):
+    """The prototypes, in blocks of a bounded number of languages, and the centre they are taken from."""
+
+    blocks: list[Broadcast]
+    centre: np.ndarray
+
+
+def language_model(docs: DataFrame, sample: int = 3000, dim: int = 1024, block: int = 512, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> Model:
+    """Prototypes of all languages and their centre, learned from rows with an id that isn't held out.
+
+    The classifier is fitted on about `sample` labelled rows of each language (_picked()). The languages may be as many as
+    they like: their sums are joined by key, and prototypes pass the driver `block` languages (4 kB each) at a time.
+    """
+    spark = docs.sparkSession
+    parts = partitions(spark)
+    picked = _picked(docs, sample, text, lang, id_col).repartition(parts)
+    sums = picked.mapInArrow(_learn(dim), "lang string, vector binary").repartition(parts, "lang").sortWithinPartitions("lang")
+    means = stored(sums.mapInArrow(_means, "lang string, vector binary"), "prototypes")
+    totals = means.select("vector").mapInArrow(_total, "n long, vector binary").collect()
+    n = sum(r.n for r in totals)
+    centre = sum(np.frombuffer(r.vector) for r in totals) / n if n > 1 else np.zeros(dim)
+    count = -(-n // block)
+    blocks = []
+    for b in range(count):
+        rows = sorted(means.filter(F.pmod(F.xxhash64("lang"), F.lit(count)) == b).collect())
+        if rows:
+            prototypes = _unit(np.stack([np.frombuffer(r.vector) for r in rows]) - centre).astype(np.float32)
+            blocks.append(spark.sparkContext.broadcast(([r.lang for r in rows], prototypes)))
+    drop_stored(means)
+    return Model(blocks, centre.astype(np.float32))
+
+
+def language_id(docs: DataFrame, sample: int = 3000, dim: int = 1024, block: int = 512, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     Letters outside runs count as one space. A document's bundle and the prototypes, less their common
     centre, are compared by cosine; score is the largest, 0 at least. Equal cosines go to the first
     language by name. A text that is null, empty or without a letter is `und` with score 0, and so is
-    every text where no labelled row with a letter is left to learn from. Rows with a null id are not held
-    out. Whole texts are used, whatever their length; repeated rows are judged each. Other columns are not read.
+    every text where no labelled row with a letter is left to learn from. Any number of languages is learned, rare ones
+    from the rows they have. Rows with a null id are not held
+    out, and nothing is learned from them. Whole texts are used, whatever their length; repeated rows are judged each. Other columns are not read.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(language_model(docs, sample, dim, max_langs, text, lang, id_col))
+    model = language_model(docs, sample, dim, block, text, lang, id_col)
     rows = docs.select(F.col(text).cast("string").alias("_text"), F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"))
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(_predict(model, dim), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
