@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -143,11 +144,11 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def families(sizes: dict[str, int], alpha: float, delta: float) -> tuple[list[str], list[str], float]:
-    """From the labels of each stratum: the strata tested on their own, those the pool's test is on, and each test's part of delta.
+def families(sizes: dict[str, int], alpha: float, delta: float, rest: int = 0) -> tuple[list[str], bool, float]:
+    """From the labels of each stratum: the strata tested on their own, whether the pool's test is on all strata, and each test's part of delta.
 
     A stratum is tested on its own if its labels, none of them rejected, can guarantee a cutoff. The
-    others share one test on their pooled labels, or on all labels where those are too few.
+    others (with `rest` labels of strata not in sizes) share one test on their pooled labels, or on all labels where those are too few.
     Only numbers of labels decide this, never what a cutoff rejects.
     """
     order = sorted(sizes, key=lambda x: (-sizes[x], x))
@@ -155,60 +156,102 @@ def families(sizes: dict[str, int], alpha: float, delta: float) -> tuple[list[st
     def enough(n: int, tests: int) -> bool:
         return binomial_cdf(0, n, alpha) <= delta / tests / 2
 
-    own = max([m for m in range(1, len(order) + 1) if enough(sizes[order[m - 1]], m + (m < len(order)))], default=0)
-    tests = max(1, own + (own < len(order)))
-    rest = order[own:]
-    return order[:own], rest if not rest or enough(sum(sizes[x] for x in rest), tests) else order, delta / tests
+    own = max([m for m in range(1, len(order) + 1) if enough(sizes[order[m - 1]], m + (m < len(order) or rest > 0))], default=0)
+    pooled = sum(sizes[x] for x in order[own:]) + rest
+    tests = max(1, own + (pooled > 0))
+    return order[:own], pooled > 0 and not enough(pooled, tests), delta / tests
 
 
-def calibrate(measured: DataFrame, labels: DataFrame, stratum: str, alpha: float, delta: float, max_strata: int, id_col: str = "doc_id") -> dict[tuple[str, str], float]:
+class Cutoffs(NamedTuple):
+    """For each score, the cutoffs of the strata with most labels; the other strata's as a table (or None): stratum and a column for each score."""
+
+    of: dict[tuple[str, str], float]
+    known: list[str]
+    rest: DataFrame | None
+
+
+def _milder(accepted: dict[str, list[float]], alpha: float, delta: float):
+    """By pooled stratum: of the pool's accepted cutoffs, those that its own labels don't contradict."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, n = batch.column(0), batch.column(1).to_pylist()
+            counts = iter(batch.columns[2:])
+            out = []
+            for k in CUTOFFS:
+                best: list[float | None] = [None] * len(n)
+                for c in accepted.get(k, []):
+                    for i, hits in enumerate(next(counts).to_pylist()):
+                        if 1 - binomial_cdf(hits - 1, n[i], alpha) >= delta:
+                            best[i] = c
+                out.append(pa.array(best, pa.float64()))
+            yield pa.RecordBatch.from_arrays([names, batch.column(1), *out], names=["_of", "_labels", *[f"_cut_{k}" for k in CUTOFFS]])
+
+    return run
+
+
+def calibrate(measured: DataFrame, labels: DataFrame, stratum: str, alpha: float, delta: float, most: int, id_col: str = "doc_id") -> Cutoffs:
     """A cutoff for each stratum and score, where one can be guaranteed.
 
     Of the labelled good documents that the base rules pass, all cutoffs of a stratum together may reject a
-    part of alpha, with confidence 1 - delta over all tests (Bonferroni). Strata with few labels are tested
+    part of alpha, with confidence 1 - delta over all tests (Bonferroni). The `most` strata with the most labels are tested on their
+    own where these are enough; all others are tested
     as one (families()): for them the guarantee is on the pool's documents, and one whose own
     labels contradict it (more rejected than a rate of alpha explains, at delta) gets milder cutoffs.
     Score after score, cutoffs are tested from mild to severe, each with all those accepted before
     (fixed-sequence testing). Half of a test's delta is for the sequence until its first failure, which ends the score's
     cutoffs. The other half is for going on with the next scores after it, shared by them and by all
-    cutoffs where one could start. Only counts reach the driver: at most 2 x max_strata x the cutoffs.
+    cutoffs where one could start. There may be any number of strata: only the counts of `most` reach the driver.
     """
-    good = labels.filter(F.col("quality") == 1).filter(F.coalesce(F.col("toxic"), F.lit(0)) == 0).select(F.col(id_col).alias("_id")).distinct()
-    rows = measured.filter(~base_failed()).join(good, F.col(id_col) == F.col("_id"), "left_semi").select(F.col(stratum).alias("_stratum"), *BASE)
-    rows = stored(rows, "good")
-    got = rows.groupBy("_stratum").count().limit(max_strata + 1).collect()
-    if len(got) > max_strata:
-        raise ValueError(f"more than {max_strata} strata")
-    sizes = {r["_stratum"]: r["count"] for r in got}
-    own, pool, part = families(sizes, alpha, delta)
+    good = labels.filter(F.col("quality") == 1).filter(F.coalesce(F.col("toxic"), F.lit(0)) == 0).select(F.col("doc_id").alias("_id")).distinct()
+    rows = measured.filter(~base_failed()).select(F.col(id_col).alias("_doc"), F.col(stratum).alias("_stratum"), *BASE)
+    rows = stored(rows.join(good, F.col("_doc") == F.col("_id"), "left_semi").drop("_doc"), "good")
+    by_size = stored(rows.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_n")), "strata")
+    sizes = {r["_stratum"]: r["_n"] for r in by_size.orderBy(F.desc("_n"), "_stratum").limit(most).collect()}
+    strata, total = by_size.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    own, all_pooled, part = families(sizes, alpha, delta, total - sum(sizes.values()))
+    n_of = {f"={x}": sizes[x] for x in own}
+    if strata > len(own):
+        n_of["*"] = total if all_pooled else total - sum(n_of.values())
     alone = F.col("_stratum").isin(own)
-    pooled = F.when(F.col("_stratum").isin(pool), F.lit("*"))
+    pooled = F.when(F.lit(all_pooled) | ~alone, F.lit("*"))
     tests = F.array_compact(F.array(F.when(alone, F.concat(F.lit("="), "_stratum")), pooled))
-    members = {f"={x}": [x] for x in own} | ({"*": pool} if pool else {})
-    rows = rows.withColumn("_test", F.explode(tests))
+    tested = rows.withColumn("_test", F.explode(tests))
     accepted: dict[tuple[str, str], float] = {}
+    of_pool: dict[str, list[float]] = {}
     failed = set()
     cutoffs = {}
     starts = 1
+    sums = []
     for k, cs in CUTOFFS.items():
         before = _failed_score(accepted, "_test").isNotNull()
-        sums = [F.sum((before | (scores()[k] > c)).cast("long")).alias(f"_{i}") for i, c in enumerate(cs)]
-        counts = {(r["_test"], r["_stratum"]): r for r in rows.groupBy("_test", "_stratum").agg(*sums).collect()}
-        for test, strata in members.items():
-            n = sum(sizes[x] for x in strata)
+        hits = [F.sum((before | (scores()[k] > c)).cast("long")).alias(f"_{i}") for i, c in enumerate(cs)]
+        counts = {r["_test"]: r for r in tested.groupBy("_test").agg(*hits).collect()}
+        for test, n in n_of.items():
             level = part / 2 / ((len(CUTOFFS) - 1) * starts if test in failed else 1)
             for i, c in enumerate(cs):
-                if binomial_cdf(sum(counts[test, x][f"_{i}"] for x in strata), n, alpha) > level:
+                if binomial_cdf(counts[test][f"_{i}"], n, alpha) > level:
                     failed.add(test)
                     break
                 accepted[test, k] = c
-                for x in strata:
-                    contradicted = test == "*" and 1 - binomial_cdf(counts[test, x][f"_{i}"] - 1, sizes[x], alpha) < delta
-                    if (test != "*" or x not in own) and not contradicted:
-                        cutoffs[x, k] = c
+                if test == "*":
+                    of_pool.setdefault(k, []).append(c)
+                    sums.append(hits[i].alias(f"_{k}_{i}"))
+                else:
+                    cutoffs[test[1:], k] = c
         starts *= len(cs) + 1
-    drop_stored(rows)
-    return cutoffs
+    if not of_pool:
+        drop_stored(rows, by_size)
+        return Cutoffs(cutoffs, own, None)
+    fields = ", ".join(f"_cut_{k} double" for k in CUTOFFS)
+    small = tested.filter("_test = '*'").filter(~alone).groupBy("_stratum").agg(F.count(F.lit(1)), *sums)
+    small = stored(small.mapInArrow(_milder(of_pool, alpha, delta), f"_of string, _labels long, {fields}"), "cutoffs")
+    top = small.orderBy(F.desc("_labels"), "_of").limit(most).collect()
+    for r in top:
+        cutoffs.update({(r["_of"], k): r[f"_cut_{k}"] for k in CUTOFFS if r[f"_cut_{k}"] is not None})
+    known = [*own, *(r["_of"] for r in top)]
+    drop_stored(rows, by_size)
+    return Cutoffs(cutoffs, known, small if strata > len(known) else None)
 
 
 def _failed_score(cutoffs: dict[tuple[str, str], float], stratum: str) -> F.Column:
@@ -223,32 +266,52 @@ def _failed_score(cutoffs: dict[tuple[str, str], float], stratum: str) -> F.Colu
     return failed
 
 
+def _judged(measured: DataFrame, cutoffs: Cutoffs, stratum: str, salts: int = 16) -> DataFrame:
+    """measured with `_failed_score`. Rows of strata that aren't known to the driver join their cutoffs, spread by a salt."""
+    out = measured.withColumn("_failed_score", _failed_score(cutoffs.of, stratum))
+    if cutoffs.rest is None:
+        return out
+    known = F.col(stratum).isin(cutoffs.known)
+    others = measured.filter(~known).withColumn("_salt", (F.monotonically_increasing_id() % salts).cast("int"))
+    rest = cutoffs.rest.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts))))).withColumnRenamed("_salt", "_salted")
+    others = others.join(rest, (F.col(stratum) == F.col("_of")) & (F.col("_salt") == F.col("_salted")), "left")
+    failed = F.lit(None).cast("string")
+    for k in reversed(CUTOFFS):
+        failed = F.when(scores()[k] > F.col(f"_cut_{k}"), F.lit(k)).otherwise(failed)
+    return out.filter(known).unionByName(others.withColumn("_failed_score", failed).select(out.columns))
+
+
 def _stratum(name: str) -> F.Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("none"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", alpha: float = 0.004, delta: float = 0.05, max_strata: int = 1000) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", alpha: float = 0.004, delta: float = 0.05, most: int = 256, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, BASE, base_failed, kept, stratum, failed_score.
 
     kept is false if base_failed or if a score is above its stratum's guaranteed cutoff; failed_score
     names the first such score. Null and empty texts have no words and fail the base rule. A null
-    stratum is the stratum 'none'. Without labels (an empty table, or too few for any guarantee)
+    stratum is the stratum 'none'. Strata may be as many as they like; the `most` with the most labels are tested on their own at best. Without labels (an empty table, or too few for any guarantee)
     only the base rules reject; a stratum without a labelled good document has no cutoff. Repeated rows and ids are judged each on its own. A label without
     a document, or with null quality, counts for nothing. Other columns are not read.
     """
-    rows = docs.select("doc_id", _stratum(stratum).alias("stratum"), "text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), _stratum(stratum).alias("stratum"), F.col(text).alias("text"))
     measured = stored(measure(rows, keep=("doc_id", "stratum")), "quality")
-    cutoffs = calibrate(measured, labels, "stratum", alpha, delta, max_strata)
-    out = measured.withColumn("base_failed", base_failed()).withColumn("failed_score", _failed_score(cutoffs, "stratum"))
-    return out.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & F.col("failed_score").isNull()).alias("kept"), "stratum", "failed_score")
+    cutoffs = calibrate(measured, labels, "stratum", alpha, delta, most)
+    out = _judged(measured, cutoffs, "stratum").withColumn("base_failed", base_failed())
+    failed = F.col("_failed_score")
+    return out.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & failed.isNull()).alias("kept"), "stratum", failed.alias("failed_score"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", alpha: float = 0.004, delta: float = 0.05, max_strata: int = 1000) -> DataFrame:
-    """The rows of docs, whole, that quality_rules() keeps. Each row is judged by its own text, so no join by id is needed."""
-    rows = docs.select("doc_id", _stratum(stratum).alias("stratum"), "text")
-    measured = stored(measure(rows, keep=("doc_id", "stratum")), "quality")
-    cutoffs = calibrate(measured, labels, "stratum", alpha, delta, max_strata)
-    carried = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.select(F.col("text").alias("_t"), _stratum(stratum).alias("_s"), *[F.col(c).alias(n) for c, n in carried.items()])
-    judged = measure(rows, "_t", ("_s", *carried.values())).filter(~base_failed() & _failed_score(cutoffs, "_s").isNull())
-    return judged.select(*[F.col(n).alias(c) for c, n in carried.items()])
+def keep_good(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", alpha: float = 0.004, delta: float = 0.05, most: int = 256, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, whole, that quality_rules() keeps. Each row is judged by its own text, so no join by id is needed.
+
+    Texts are measured once: the rows are written with their measures, which the calibration reads alone.
+    """
+    names = [f"_in_{i}" for i in range(len(docs.columns))]
+    at = {c: names[docs.columns.index(c)] for c in (text, id_col)}
+    rows = docs.select(_stratum(stratum).alias("_s"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
+    rows = rows.withColumn("_t", F.col(at[text]))
+    measured = stored(measure(rows, "_t", ("_s", *names)), "measured")
+    cutoffs = calibrate(measured, labels, "_s", alpha, delta, most, at[id_col])
+    kept = _judged(measured, cutoffs, "_s").filter(~base_failed() & F.col("_failed_score").isNull())
+    return kept.select(*names).toDF(*docs.columns)

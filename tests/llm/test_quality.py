@@ -89,11 +89,12 @@ def test_labelled_junk_goes_in_every_language(spark):
 
 
 def test_families():
-    assert families({"en": 1789, "de": 439, "fr": 437, "es": 288}, 0.004, 0.05) == (["en"], ["de", "fr", "es"], 0.025)
-    assert families({"en": 1789, "es": 288}, 0.004, 0.05) == (["en"], ["en", "es"], 0.025)
-    assert families({"en": 5000, "de": 5000}, 0.004, 0.05) == (["de", "en"], [], 0.025)
-    assert families({"en": 60}, 0.004, 0.05) == ([], ["en"], 0.05)
-    assert families({}, 0.004, 0.05) == ([], [], 0.05)
+    assert families({"en": 1789, "de": 439, "fr": 437, "es": 288}, 0.004, 0.05) == (["en"], False, 0.025)
+    assert families({"en": 1789, "es": 288}, 0.004, 0.05) == (["en"], True, 0.025)
+    assert families({"en": 1789}, 0.004, 0.05, 288) == (["en"], True, 0.025)
+    assert families({"en": 5000, "de": 5000}, 0.004, 0.05) == (["de", "en"], False, 0.025)
+    assert families({"en": 60}, 0.004, 0.05) == ([], True, 0.05)
+    assert families({}, 0.004, 0.05) == ([], False, 0.05)
 
 
 def test_small_strata(spark):
@@ -108,3 +109,86 @@ def test_small_strata(spark):
     got = {r.doc_id: r.kept for r in quality_rules(df, labels).collect()}
     assert all(got[i] for i in range(3053))
     assert [got[i] for i in range(4000, 4004)] == [False, False, False, True]
+
+
+def judged(rows, labels, alpha, delta, most):
+    """doc_id -> kept, by plain loops: rows are (doc_id, text, stratum)."""
+    measured = {i: (base(t), x or "none") for i, t, x in rows}
+
+    def score(b):
+        n = max(b[0], 1)
+        return {"symbols": b[2] / max(b[1], 1), "dup_lines": b[3] * 5 / n, "repeats": b[4] / n, "word_length": b[1] / n}
+
+    def fails_base(b):
+        return b[0] < 10 or 100 * b[4] > 20 * b[0]
+
+    good = {i for i, q, toxic in labels if q == 1 and not toxic}
+    known = {}
+    for i, (b, x) in measured.items():
+        if i in good and not fails_base(b):
+            known.setdefault(x, []).append(score(b))
+    order = sorted(known, key=lambda x: (-len(known[x]), x))
+    m = 0
+    for n in range(1, min(most, len(order)) + 1):
+        if binomial_cdf(0, len(known[order[n - 1]]), alpha) <= delta / (n + (n < len(order))) / 2:
+            m = n
+    own, others = order[:m], order[m:]
+    part = delta / max(1, m + bool(others))
+    pool = [s for x in others for s in known[x]]
+    if pool and binomial_cdf(0, len(pool), alpha) > part / 2:
+        pool = [s for x in order for s in known[x]]
+    cut = {x: {} for x in order}
+    for test in [*own, *(["*"] if pool else [])]:
+        rows_ = pool if test == "*" else known[test]
+        mine, failed, starts = {}, False, 1
+        for k, cs in CUTOFFS.items():
+            level = part / 2 / (3 * starts if failed else 1)
+            before = dict(mine)
+            for c in cs:
+                def hits(ss):
+                    return sum(s[k] > c or any(s[j] > v for j, v in before.items()) for s in ss)
+
+                if binomial_cdf(hits(rows_), len(rows_), alpha) > level:
+                    failed = True
+                    break
+                mine[k] = c
+                for x in others if test == "*" else [test]:
+                    if test != "*" or 1 - binomial_cdf(hits(known[x]) - 1, len(known[x]), alpha) >= delta:
+                        cut[x][k] = c
+            starts *= len(cs) + 1
+    return {i: not fails_base(b) and not any(score(b)[k] > c for k, c in cut.get(x, {}).items()) for i, (b, x) in measured.items()}
+
+
+@pytest.mark.parametrize("most", [256, 2])
+def test_verdict_against_plain_loops(spark, most):
+    """Several strata with their own tests, a pool, strata that contradict it, and (most=2) strata that the driver doesn't know."""
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(6500):
+        x = ["en", "de", "fr", "it", "pt", None][int(rng.choice(6, p=[0.5, 0.3, 0.1, 0.04, 0.03, 0.03]))]
+        quality = int(rng.random() > 0.2)
+        words = [f"word{j}" for j in range(30)]
+        marks = int(rng.integers(3, 30)) if not quality else int(rng.integers(1, 8)) * (rng.random() < {"fr": 0.003, "pt": 0.1}.get(x, 0.002))
+        for j in range(marks):
+            words[j] += "#" * int(rng.integers(1, 4))
+        if rng.random() < (0.3 if not quality else 0.001):
+            words += ["again", "and", "over", "this", "line"] + ["again", "and", "over", "this", "line"][: int(rng.integers(0, 6))]
+        rows.append((i, " ".join(words), x))
+        if rng.random() < 0.9:
+            labels.append((i, quality, 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.kept for r in quality_rules(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), most=most).collect()}
+    want = judged(rows, labels, 0.004, 0.05, most)
+    assert got == want and 500 < sum(not k for k in want.values()) < 3000
+
+
+def test_many_strata(spark):
+    """3,000 strata, each with a labelled document or two: one pool, whose cutoffs reach strata that the driver doesn't know."""
+    words = [f"word{i}" for i in range(30)]
+    rows = [(i, " ".join(words), f"x{i % 3000}") for i in range(6000)]
+    rows += [(6000 + i, " ".join([f"{w}##" for w in words]), f"x{i}") for i in range(3000)] + [(9999, " ".join([f"{w}##" for w in words]), "new")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.range(6000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    got = {r.doc_id: r.kept for r in quality_rules(df, labels).collect()}
+    assert len(got) == 9001 and all(k == (i < 6000 or i == 9999) for i, k in got.items())
+    assert keep_good(df, labels).count() == 6001
