@@ -35,19 +35,27 @@ def _byte_chars() -> dict[str, int]:
 
 
 class Cache(dict):
-    """What encode() gives for a word (the text after a space). Two generations bound it: `most` words each."""
+    """What encode() gives for a word (the text after a space). Two generations bound it: `most` words each.
+
+    The first tier, a table of frequent words, belongs to no generation: it stays.
+    """
 
     def __init__(self, encode: Callable[[str], object], most: int = 250_000) -> None:
-        self.encode, self.most, self.old = encode, most, {}
+        self.encode, self.most, self.old, self.first = encode, most, {}, {}
+
+    def give(self, first: dict[str, object]) -> None:
+        self.first = first
+        self.update(first)
 
     def __missing__(self, word: str):
         got = self.old.get(word)
         if got is None:
             got = self.encode(" " + word)
         if len(word) <= 48:
-            if len(self) >= self.most:
+            if len(self) - len(self.first) >= self.most:
                 self.old = dict(self)
                 self.clear()
+                self.update(self.first)
             self[word] = got
         return got
 
@@ -81,13 +89,16 @@ class Codec:
             raise ValueError("merges aren't in the order of ids")
         self.vocab = vocab
         self.engine = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=vocab, special_tokens={})
+        self.whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=vocab, special_tokens={})  # splits nothing
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.unsplit = re.compile(r"\S{%d}|\s{%d}" % (LEAF, LEAF))
+        self.unsplit = {n: re.compile(r"\S{%d}|\s{%d}" % (n, n)) for n in (LEAF, LEAF // 4)}
         self.counts = Cache(lambda t: len(self.pack(t)) // 4)
+        self.tier: object = None  # the table that counts has as its first tier
 
     def pack(self, text: str) -> bytes:
         """ids of a text without special strings, as little-endian unsigned 32-bit integers."""
-        long = len(text) > LEAF and self.unsplit.search(text)
+        least = LEAF if text.isascii() else LEAF // 4  # characters of a pre-token of over LEAF bytes, less its space
+        long = len(text) > least and self.unsplit[least].search(text)
         return np.array(self._long(text) if long else self.engine.encode_ordinary(text), "<u4").tobytes()
 
     def _long(self, text: str) -> list[int]:
@@ -99,16 +110,20 @@ class Codec:
             out += self.tree(piece) if len(piece) > LEAF else self.engine.encode_ordinary(m.group())
         return out
 
-    def tree(self, piece: bytes, leaf: int = LEAF) -> list[int]:
-        """ids of one pre-token: its leaves are encoded side by side, then joined in pairs."""
+    def tree(self, piece: bytes, leaf: int = LEAF, threads: int = 2) -> list[int]:
+        """ids of one pre-token: its leaves (whole characters) are encoded side by side, then joined in pairs."""
         if piece in self.vocab:
             return [self.vocab[piece]]
         n = 1
         while len(piece) / n > leaf:
             n *= 2
         edges = [len(piece) * i // n for i in range(n + 1)]
-        with ThreadPoolExecutor(2) as pool:  # the engine encodes outside the interpreter's lock
-            parts = list(pool.map(self.merge, [piece[a:b] for a, b in zip(edges, edges[1:])]))
+        for i in range(1, n):
+            while piece[edges[i]] & 0xC0 == 0x80:
+                edges[i] -= 1
+        leaves = [piece[a:b].decode() for a, b in zip(edges, edges[1:])]
+        with ThreadPoolExecutor(threads) as pool:  # encode_ordinary() works outside the interpreter's lock
+            parts = list(pool.map(self.whole.encode_ordinary, leaves))
         while len(parts) > 1:
             parts = [self.join(parts[i], parts[i + 1]) for i in range(0, len(parts), 2)]
         return parts[0]
@@ -168,10 +183,11 @@ class Codec:
         ids = np.frombuffer(packed, "<u4").tolist()
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
-    def frequent(self, most: int = 65_536) -> dict[str, int]:
-        """Token counts of the words that the vocabulary itself holds: a table of a size that no corpus changes."""
-        words = [b[1:].decode("utf-8", "ignore") for b in self.vocab if b[:1] == b" " and len(b) > 1]
-        return {w: self.counts.encode(" " + w) for w in words[:most] if w and not any(c.isspace() for c in w)}
+    def words(self, text: str) -> Iterator[str]:
+        """The words of a text whose counts count() looks up."""
+        for p in self._parts(text):
+            if p.__class__ is str and " " in p and not UNSAFE.search(p):
+                yield from p.split(" ")[1:]
 
 
 @lru_cache(maxsize=4)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +19,13 @@ Pattern = tuple[tuple[int, ...], int]
 
 
 class Completion:
-    """Bin completion over counts of lengths: bins of one filling are made together.
+    """An incumbent by bin completion over counts of lengths: each bin takes the first filling of least waste, and is never reconsidered.
 
-    Whatever the corpus, there are at most `cap` lengths, so the search is as large for any input.
+    Bins of one filling are made together. `effort` bounds the steps of one bin's search (None: no bound).
     """
 
-    def __init__(self, counts: dict[int, int], cap: int, effort: int = 4000) -> None:
-        self.cap, self.effort = cap, effort
+    def __init__(self, counts: dict[int, int], cap: int, effort: int | None = 4000) -> None:
+        self.cap, self.effort = cap, float("inf") if effort is None else effort
         self.count = [0] * (cap + 1)
         for length, n in counts.items():
             self.count[length] = n
@@ -106,6 +107,187 @@ class Completion:
         return patterns
 
 
+def best_fit(counts: dict[int, int], cap: int) -> list[Pattern]:
+    """An incumbent by best fit, longest first: a piece goes where it leaves the least room. Equal bins are filled together."""
+    open_: dict[int, list[Pattern]] = {}
+    rooms: list[int] = []  # sorted
+
+    def put(room: int, p: Pattern) -> None:
+        if room not in open_:
+            open_[room] = []
+            insort(rooms, room)
+        open_[room].append(p)
+
+    for x in sorted(counts, reverse=True):
+        left = counts[x]
+        while left:
+            at = bisect_left(rooms, x)
+            if at < len(rooms):
+                room = rooms[at]
+                lengths, times = open_[room].pop()
+                if not open_[room]:
+                    del open_[room], rooms[at]
+            else:
+                room, lengths, times = cap, (), left
+            each = room // x
+            bins = min(times, left // each)
+            if bins == 0:  # the rest goes into one bin
+                each, bins = left, 1
+            if room != cap and times > bins:
+                put(room, (lengths, times - bins))
+            put(room - each * x, (lengths + (x,) * each, bins))
+            left -= each * bins
+    return [p for ps in open_.values() for p in ps]
+
+
+def bins_at_least(counts: np.ndarray, cap: int) -> int:
+    """A lower bound of the number of bins (Martello and Toth): long pieces need one each, short ones what those leave too little of."""
+    n, s = np.cumsum(counts), np.cumsum(counts * np.arange(cap + 1))
+    low = np.arange(cap // 2 + 1)
+    half, half_sum = n[cap - low] - n[cap // 2], s[cap - low] - s[cap // 2]
+    small = s[cap // 2] - np.where(low > 0, s[low - 1], 0)
+    return int((n[cap] - n[cap // 2] + np.maximum(0, -(-(small - (half * cap - half_sum)) // cap))).max())
+
+
+class Branches:
+    """Bin completion by branch and bound over whole packings.
+
+    At each node the longest piece left is completed by every undominated filling, from the least waste on; a filling is
+    made as often as stock allows first, and once after that, so that all numbers of it come up. A node is cut if its waste
+    exceeds what any better packing may have, or if its bins and the lower bound of the rest reach the incumbent.
+    The search ends when the incumbent meets the lower bound, when it is exhausted (`proven`: no packing has fewer bins), or after `effort` steps.
+    """
+
+    def __init__(self, counts: dict[int, int], cap: int, effort: int | None) -> None:
+        self.cap = cap
+        self.count = np.zeros(cap + 1, np.int64)
+        for length, n in counts.items():
+            self.count[length] = n
+        self.total = int((self.count * np.arange(cap + 1)).sum())
+        self.bound = bins_at_least(self.count, cap)
+        self.left = float("inf") if effort is None else effort
+        some = [best_fit(counts, cap), Completion(counts, cap, None if effort is None else 4000).solve()]
+        self.best = min(some, key=lambda p: sum(n for _, n in p))
+        self.fewest = sum(n for _, n in self.best)
+        self.used = self.waste = 0
+        self.proven = self.fewest == self.bound
+
+    def _room_for_waste(self) -> int:
+        """What a packing with a bin less than the incumbent may still waste."""
+        return (self.fewest - 1) * self.cap - self.total - self.waste
+
+    def _fillings(self, room: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """(waste, runs of lengths) of the undominated fillings of a room from the stock, the least waste first."""
+        stock = [x for x in np.flatnonzero(self.count[: room + 1]).tolist()]
+        kinds = sum(1 << x for x in np.flatnonzero(self.count).tolist())
+        bits = [1]  # bit r of bits[i]: the first i lengths, as often as wanted, fill r exactly
+        mask = (1 << (room + 1)) - 1
+        for x in stock:
+            b, step = bits[-1], x
+            while step <= room:
+                b |= (b << step) & mask
+                step *= 2
+            bits.append(b)
+
+        def exact(left: int, i: int) -> Iterator[list[tuple[int, int]]]:
+            """Fillings of exactly `left` from the first i lengths, those with the longest pieces first."""
+            self.left -= 1
+            if left == 0:
+                yield []
+                return
+            while i > 0 and self.left > 0:
+                i -= 1
+                x = stock[i]
+                if not bits[i + 1] >> left & 1:
+                    return
+                for n in range(min(int(self.count[x]), left // x), 0, -1):
+                    if bits[i] >> (left - n * x) & 1:
+                        for rest in exact(left - n * x, i):
+                            yield [(x, n), *rest]
+
+        waste = 0
+        while waste <= min(room, self._room_for_waste()) and self.left > 0:
+            if bits[-1] >> (room - waste) & 1:
+                for runs in exact(room - waste, len(stock)):
+                    if not self._dominated(runs, waste, kinds):
+                        yield waste, runs
+            waste += 1
+
+    def _dominated(self, runs: list[tuple[int, int]], waste: int, kinds: int) -> bool:
+        """Whether a piece left over could take the place of some of the filling (or of nothing) and waste less, or as much with fewer pieces."""
+        for x, n in runs:
+            if n == self.count[x]:
+                kinds &= ~(1 << x)
+        one = more = 0  # sums of one piece, and of two or more
+        for x, n in runs:
+            for _ in range(n):
+                more |= (more << x) | (one << x)
+                one |= 1 << x
+        reach = 1
+        while reach < waste + 1:  # sums of two or more, and up to `waste` above them
+            step = min(reach, waste + 1 - reach)
+            more |= more << step
+            reach += step
+        wider, reach = one << 1, 1
+        while reach < waste:
+            step = min(reach, waste - reach)
+            wider |= wider << step
+            reach += step
+        return bool(kinds & (more | (wider if waste else 0) | (((1 << (waste + 1)) - 1) & ~1)))
+
+    def _choices(self) -> Iterator[tuple[tuple[int, ...], dict[int, int], int, int]]:
+        largest = int(np.flatnonzero(self.count)[-1])
+        self.count[largest] -= 1
+        fillings = self._fillings(self.cap - largest)
+        while True:
+            got = next(fillings, None)
+            self.count[largest] += 1
+            if got is None:
+                return
+            waste, runs = got
+            need = dict(runs)
+            need[largest] = need.get(largest, 0) + 1
+            times = min(int(self.count[x]) // n for x, n in need.items())
+            if waste:
+                times = min(times, self._room_for_waste() // waste)
+            filling = (largest, *(x for x, n in runs for _ in range(n)))
+            for t in [times, 1] if times > 1 else [times]:
+                if t > 0:
+                    yield filling, need, waste, t
+            self.count[largest] -= 1
+
+    def _apply(self, choice: tuple, sign: int) -> None:
+        _, need, waste, times = choice
+        for x, n in need.items():
+            self.count[x] -= sign * n * times
+        self.used += sign * times
+        self.waste += sign * waste * times
+
+    def solve(self) -> list[Pattern]:
+        if self.proven or not self.total:
+            return self.best
+        path: list[tuple] = []
+        stack = [self._choices()]
+        while stack and self.left > 0 and self.fewest > self.bound:
+            choice = next(stack[-1], None)
+            if choice is None:
+                stack.pop()
+                if path:
+                    self._apply(path.pop(), -1)
+                continue
+            self._apply(choice, 1)
+            path.append(choice)
+            done = not self.count.any()
+            if done and self.used < self.fewest:
+                self.best, self.fewest = [(c[0], c[3]) for c in path], self.used
+            if done or self._room_for_waste() < 0 or self.used + bins_at_least(self.count, self.cap) >= self.fewest:
+                self._apply(path.pop(), -1)
+                continue
+            stack.append(self._choices())
+        self.proven = self.fewest == self.bound or self.left > 0
+        return self.best
+
+
 def slots(patterns: list[Pattern]) -> dict[str, np.ndarray]:
     """For each length, runs of pieces by rank: length, rank of the first, its sequence, offset."""
     rows, base, seen = [], 0, {}
@@ -162,13 +344,15 @@ def _place(plan: Broadcast):
     return run
 
 
-def pack(docs: DataFrame, path: str, cap: int = 2048, end: int = 0, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, path: str, cap: int = 2048, end: int = 0, text: str = "text", id_col: str = "doc_id", effort: int | None = 200_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and then the id `end`; a null or empty text is that one id. Only a document
     of more than cap ids is cut: into pieces of cap, after a first piece of what is left over. The
     counts of piece lengths (at most cap numbers) reach the driver, which makes the plan of all
-    sequences; pieces find their place by their rank among those of their length. Repeated rows are
+    sequences; pieces find their place by their rank among those of their length. Where the plan isn't proven to have the
+    fewest sequences possible at once (by a lower bound), the branch and bound goes on for `effort` steps, or with None
+    until it is. Repeated rows are
     pieces like others. Other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -177,7 +361,7 @@ def pack(docs: DataFrame, path: str, cap: int = 2048, end: int = 0, text: str =
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
     pieces = stored(rows.mapInArrow(_pieces(vocabulary(spark, path), cap, end), schema), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
-    plan = spark.sparkContext.broadcast(slots(Completion(counts, cap).solve()))
+    plan = spark.sparkContext.broadcast(slots(Branches(counts, cap, effort).solve()))
     ranked = spread_rank(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "_rank")
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank")
     return ranked.mapInArrow(_place(plan), schema + ", sequence_id long, offset long")
