@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from skarn.catalog import IndexCatalog, IndexConfig, IndexHandle, IndexInfo, IndexType
 from skarn.functions.distance import DistanceMetric
@@ -24,7 +25,7 @@ from skarn.operators.filters import Condition, parse_filter, where
 from skarn.operators.knn import knn, knn_join
 from skarn.operators.ordered import OrderedIndex
 from skarn.operators.text import TextIndex
-from skarn.schema import MAX_RECORD_BYTES, Schema
+from skarn.schema import MAX_RECORD_BYTES, FieldType, Schema
 from skarn.session import Workspace
 
 RESERVED = ("doc_id", "content", "embedding", "metadata")
@@ -327,6 +328,11 @@ class Collection:
         for entry in os.listdir(self._path):
             if entry.startswith("part-") and entry not in state["parts"]:
                 shutil.rmtree(os.path.join(self._path, entry))
+        for info in self.catalog.list_indexes(self.name()):
+            at = self.catalog.path_of(info)
+            if info.type == IndexType.TEXT.value and os.path.exists(at):
+                for entry in set(os.listdir(at)) - set(state["parts"]):
+                    shutil.rmtree(os.path.join(at, entry))
 
     # -- indices -------------------------------------------------------------------------------------
 
@@ -347,7 +353,7 @@ class Collection:
         return self._create(name, IndexType.DISKANN, {"R_max_degree": R_max_degree, "L_build": L_build, "alpha": alpha})
 
     def create_ivfpq_index(self, name: str, num_clusters: int = 256, num_subquantizers: int = 8, nprobe: int = 8) -> IndexHandle:
-        """Trains on the documents there are and writes their codes; documents added later are found after a rebuild."""
+        """Trains on the documents there are and writes their codes. Searches look at documents added later one by one, until the index is made anew."""
         self._vectors_only()
         rows = self.documents().filter("embedding is not null")
         model = ivfpq.train(rows, num_clusters, num_subquantizers, id_col="doc_id")
@@ -357,8 +363,13 @@ class Collection:
         ivfpq.encode(rows, model, id_col="doc_id").write.partitionBy("cluster_id").parquet(os.path.join(handle.path, "codes"))
         return handle
 
-    def create_text_index(self, name: str, analyzer: Analyzer | str = Analyzer.STANDARD, k1: float = 1.2, b: float = 0.75) -> IndexHandle:
-        return self._create(name, IndexType.TEXT, {"analyzer": Analyzer(analyzer).value, "k1": k1, "b": b})
+    def create_text_index(self, name: str, analyzer: Analyzer | str = Analyzer.STANDARD, k1: float = 1.2, b: float = 0.75, fields: list[str] | None = None, language: str = "english") -> IndexHandle:
+        """fields are `content` (the default) and declared string fields, indexed as one text. language is kept; the stop words are English ones whatever it is."""
+        fields = list(fields or ["content"])
+        for f in fields:
+            if f != "content" and (not self._schema.has_field(f) or self._schema.get_field(f).type is not FieldType.STRING):
+                raise ValueError(f"not a string field: {f}")
+        return self._create(name, IndexType.TEXT, {"analyzer": Analyzer(analyzer).value, "k1": k1, "b": b, "fields": fields, "language": language})
 
     def create_metadata_index(self, name: str, fields: list[str], unique: bool = False) -> IndexHandle:
         """A layout and a constraint; creating it again is no error."""
@@ -394,14 +405,16 @@ class Collection:
         return OrderedIndex(self.documents(), info.config["fields"], "doc_id", info.config["unique"])
 
     def text_index(self, name: str) -> TextIndex:
-        """The inverted index of the current version, from files that are written once a version."""
+        """The inverted index of the current version. Each part of the documents is indexed once, in files of its own,
+        so that a write costs its own documents; files of parts that are gone stay for their readers until compact()."""
         info = self._index(name, IndexType.TEXT)
-        at = os.path.join(self.catalog.path_of(info), f"v{self.version()}")
         args = (info.config["analyzer"], info.config["k1"], info.config["b"])
-        if not os.path.exists(os.path.join(at, "lengths", "_SUCCESS")):
-            shutil.rmtree(self.catalog.path_of(info), ignore_errors=True)
-            TextIndex.build(self.documents(), "doc_id", "content", *args).write(at)
-        return TextIndex.read(self.workspace.spark, at, *args)
+        text = F.concat_ws("\n", *[F.col(f) for f in info.config.get("fields", ["content"])])
+        paths = [os.path.join(self.catalog.path_of(info), p) for p in self._manifest()["parts"]]
+        for at in paths:
+            if not os.path.exists(os.path.join(at, "lengths", "_SUCCESS")):
+                TextIndex.build(self._read([os.path.basename(at)]).select("doc_id", text.alias("_text")), "doc_id", "_text", *args).write(at)
+        return TextIndex.read(self.workspace.spark, paths, *args)
 
     # -- searching -----------------------------------------------------------------------------------
 
@@ -412,12 +425,16 @@ class Collection:
         if len(query) != self.vector_dim():
             raise ValueError(f"query has {len(query)} elements, not {self.vector_dim()}")
         rows = self.filtered(filter).filter("embedding is not null")
-        if info.type == IndexType.IVFPQ.value and parse_filter(filter).op == "$true":
+        if info.type == IndexType.IVFPQ.value and parse_filter(filter).op == "$true" and self.metric() is DistanceMetric.L2:
             at, spark = self.catalog.path_of(info), self.workspace.spark
             one = spark.createDataFrame([(0, [float(x) for x in query])], "vec_id long, embedding array<double>")
-            codes = spark.read.parquet(os.path.join(at, "codes")).join(rows.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-            found = ivfpq.search(codes, ivfpq.Model.load(os.path.join(at, "model.pickle")), one, k, info.config["nprobe"])
-            return found.select("rank", F.col("id").alias("doc_id"), "distance")
+            listed = spark.read.parquet(os.path.join(at, "codes"))
+            codes = listed.join(rows.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+            found = ivfpq.search(codes, ivfpq.Model.load(os.path.join(at, "model.pickle")), one, k, info.config["nprobe"], vectors=rows, id_col="doc_id").select(F.col("id").alias("doc_id"), "distance")
+            new = rows.join(listed.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")  # not listed yet
+            both = found.unionAll(knn(new, query, k, self.metric(), id_col="doc_id").select("doc_id", "distance"))
+            top = both.orderBy("distance", "doc_id").limit(k)
+            return top.select(F.row_number().over(Window.orderBy("distance", "doc_id")).alias("rank"), "doc_id", "distance")
         return knn(rows.select("doc_id", "embedding"), query, k, self.metric(), id_col="doc_id").select("rank", "doc_id", "distance")
 
     def search_vector_batch(self, queries: DataFrame, k: int, filter: str | dict | Condition | None = None) -> DataFrame:

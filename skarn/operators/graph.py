@@ -27,8 +27,11 @@ def _near(x: np.ndarray, q: np.ndarray, nodes: list[int], metric: DistanceMetric
     return block(metric, q[None, :], x[nodes])[0]
 
 
-def beam(x: np.ndarray, links: dict[int, list[int]] | list[list[int]], q: np.ndarray, starts: list[int], width: int, metric: DistanceMetric, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
-    """The `width` nearest nodes that a best-first walk finds, with their distances. It walks over all nodes; only allowed ones count."""
+def beam(x: np.ndarray, links: dict[int, list[int]] | list[list[int]], q: np.ndarray, starts: list[int], width: int, metric: DistanceMetric, allowed: np.ndarray | None = None, work: list[int] | None = None) -> list[tuple[float, int]]:
+    """The `width` nearest nodes that a best-first walk finds, with their distances. It walks over all nodes; only allowed ones count.
+
+    `work` gets the number of distances and of nodes visited added.
+    """
     starts = list(dict.fromkeys(starts))
     if not starts:
         return []
@@ -45,6 +48,9 @@ def beam(x: np.ndarray, links: dict[int, list[int]] | list[list[int]], q: np.nda
         if not new:
             continue
         seen.update(new)
+        if work is not None:
+            work[0] += len(new)
+            work[1] += 1
         for e, n in zip(_near(x, q, new, metric).tolist(), new):
             if len(best) < width or e < -best[0][0]:
                 heapq.heappush(open_, (e, n))
@@ -100,13 +106,13 @@ class Hnsw:
         if self.entry < 0 or top > self.level[self.entry]:
             self.entry = i
 
-    def search(self, q: np.ndarray, k: int, ef: int = 0) -> list[tuple[float, int]]:
+    def search(self, q: np.ndarray, k: int, ef: int = 0, work: list[int] | None = None) -> list[tuple[float, int]]:
         if self.entry < 0:
             return []
         at = [self.entry]
         for layer in range(int(self.level[self.entry]), 0, -1):
-            at = [beam(self.x, self.layers[layer], q, at, 1, self.metric)[0][1]]
-        return beam(self.x, self.layers[0], q, at, max(k, ef or self.ef), self.metric)[:k]
+            at = [beam(self.x, self.layers[layer], q, at, 1, self.metric, work=work)[0][1]]
+        return beam(self.x, self.layers[0], q, at, max(k, ef or self.ef), self.metric, work=work)[:k]
 
     def stats(self) -> list[tuple[int, int, int]]:
         """Layer, nodes and links."""
@@ -118,7 +124,7 @@ class Vamana:
 
     def __init__(self, x: np.ndarray, degree: int = 64, width: int = 100, alpha: float = 1.2, tags: list[list[int]] | None = None, metric: DistanceMetric | str = DistanceMetric.L2, seed: int = 1001) -> None:
         self.x, self.degree, self.metric = x, degree, DistanceMetric.parse(metric)
-        self.tags = [set(t[:8]) for t in tags] if tags else [set()] * len(x)
+        self.tags = [set(t) for t in tags] if tags else [set()] * len(x)
         n, rng = len(x), np.random.default_rng(seed)
         self.links = [[j for j in rng.choice(n, min(n, degree // 2 + 1), replace=False).tolist() if j != i] for i in range(n)]
         self.start = self._medoid(np.arange(n)) if n else -1
@@ -139,15 +145,15 @@ class Vamana:
     def _medoid(self, nodes: np.ndarray) -> int:
         return int(nodes[block("l2", self.x[nodes].mean(axis=0)[None, :], self.x[nodes])[0].argmin()])
 
-    def search(self, q: np.ndarray, k: int, width: int = 100, label: int | None = None) -> list[tuple[float, int]]:
+    def search(self, q: np.ndarray, k: int, width: int = 100, label: int | None = None, work: list[int] | None = None) -> list[tuple[float, int]]:
         """With a label, only nodes that have the tag are returned; the walk starts at the tag's medoid and passes through others."""
         if self.start < 0 or (label is not None and label not in self.tag_start):
             return []
         if label is None:
-            return beam(self.x, self.links, q, [self.start], max(k, width), self.metric)[:k]
+            return beam(self.x, self.links, q, [self.start], max(k, width), self.metric, work=work)[:k]
         allowed = np.array([label in t for t in self.tags])
         starts = [self.tag_start[label], *np.flatnonzero(allowed)[:16].tolist()]
-        return beam(self.x, self.links, q, starts, max(k, width), self.metric, allowed)[:k]
+        return beam(self.x, self.links, q, starts, max(k, width), self.metric, allowed, work)[:k]
 
 
 def build(df: DataFrame, kind: str = "hnsw", *, id_col: str = "vec_id", vec_col: str = "embedding", tags_col: str | None = None, part: int = PART, **params) -> DataFrame:
@@ -168,8 +174,8 @@ def build(df: DataFrame, kind: str = "hnsw", *, id_col: str = "vec_id", vec_col:
     return rows.groupBy("part").applyInArrow(one, "part int, ids array<long>, graph binary")
 
 
-def search(graphs: DataFrame, queries: list[tuple[int, list[float]]], k: int, ef: int = 100, label: int | None = None) -> DataFrame:
-    """qid, rank, id, distance: the parts' best k of each query, merged."""
+def search(graphs: DataFrame, queries: list[tuple[int, list[float]]], k: int, ef: int = 100, label: int | None = None, stats: bool = False) -> DataFrame:
+    """qid, rank, id, distance: the parts' best k of each query, merged. With stats, also dist_comps and hops: what the query took in all parts."""
     held = graphs.sparkSession.sparkContext.broadcast([(q, np.array(v, np.float64)) for q, v in queries])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,14 +184,17 @@ def search(graphs: DataFrame, queries: list[tuple[int, list[float]]], k: int, ef
                 graph = pickle.loads(blob)
                 out = []
                 for q, v in held.value:
-                    found = graph.search(v, k, ef) if label is None else graph.search(v, k, ef, label)
-                    out += [(q, ids[n], d) for d, n in found]
-                cols = list(zip(*out)) if out else [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["qid", "id", "distance"])
-
-    found = graphs.select("ids", "graph").mapInArrow(run, "qid long, id long, distance double")
-    by = Window.partitionBy("qid").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("qid", "rank", "id", "distance")
+                    work = [0, 0]
+                    found = graph.search(v, k, ef, work=work) if label is None else graph.search(v, k, ef, label, work)
+                    out += [(q, ids[n], d, *(work if i == 0 else (0, 0))) for i, (d, n) in enumerate(found)]
+                cols = list(zip(*out)) if out else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["qid", "id", "distance", "dist_comps", "hops"])
+
+    found = graphs.select("ids", "graph").mapInArrow(run, "qid long, id long, distance double, dist_comps long, hops long")
+    by, all_of = Window.partitionBy("qid").orderBy("distance", "id"), Window.partitionBy("qid")
+    if stats:
+        found = found.withColumns({c: F.sum(c).over(all_of) for c in ("dist_comps", "hops")})
+    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("qid", "rank", "id", "distance", *(["dist_comps", "hops"] if stats else []))
 
 
 def layer_stats(graphs: DataFrame) -> DataFrame:

@@ -95,10 +95,14 @@ def excluding(results: DataFrame, ids: list, k: int, id_col: str = "doc_id") ->
 
 
 def pack_context(results: DataFrame, max_tokens: int = 2000, text: str = "content", source: str = "source") -> DataFrame:
-    """The results, by rank, as long as their words add up to max_tokens; the first that goes beyond ends the list."""
+    """The results, by rank, as long as their words add up to max_tokens; the first that goes beyond ends the list.
+
+    Results without a word are left out. Each other one has a word at least, so only the first max_tokens of the list can be meant, and no task sees more.
+    """
     words = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != ""))
     running = F.sum("n_words").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    kept = results.withColumn("n_words", words).withColumn("total_words", running).filter(F.col("total_words") <= max_tokens)
+    first = results.withColumn("n_words", words).filter("n_words > 0").orderBy("rank").limit(max_tokens)
+    kept = first.withColumn("total_words", running).filter(F.col("total_words") <= max_tokens)
     return kept.withColumn("part", F.concat(F.lit("[Source: "), F.coalesce(F.col(source), F.lit("unknown")), F.lit("]\n"), F.col(text)))
 
 

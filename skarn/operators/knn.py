@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from skarn.functions.distance import DistanceMetric, block, distance
 from skarn.operators.filters import Condition, where
+from skarn.plans.layout import scratch_folder
 
 #: Queries that go to all executors at once: at most so many bytes of vectors.
 QUERY_BYTES = 32 << 20
@@ -68,11 +69,17 @@ def _nearest(queries: Broadcast, k: int, metric: DistanceMetric):
     return run
 
 
+def _best(found: DataFrame, k: int) -> DataFrame:
+    by = Window.partitionBy("qid").orderBy("distance", "id")
+    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("qid", "rank", "id", "distance")
+
+
 def knn_join(queries: DataFrame, df: DataFrame, k: int, metric: DistanceMetric | str = DistanceMetric.L2, *, qid_col: str = "vec_id", qvec_col: str = "embedding", id_col: str = "vec_id", vec_col: str = "embedding", padded: bool = False) -> DataFrame:
     """qid, rank, id, distance: the k nearest rows of df for every query.
 
-    Queries go to the executors in blocks of at most QUERY_BYTES, one after another; each task reads its
-    rows once a block, makes a matrix product of both, and passes k rows a query on. With
+    Queries go to the executors in blocks of at most QUERY_BYTES; each task reads its
+    rows once a block, makes a matrix product of both, and passes k rows a query on. Of several blocks one is held at a
+    time: its results are written below the scratch folder before the next is fetched. With
     padded, missing neighbours have id -1 and an infinite distance.
     """
     metric = DistanceMetric.parse(metric)
@@ -83,16 +90,21 @@ def knn_join(queries: DataFrame, df: DataFrame, k: int, metric: DistanceMetric |
     if first:
         fit = max(1, QUERY_BYTES // (8 * max(1, first[0][0])))
         blocks = -(-q.count() // fit)
+        at = f"{scratch_folder(spark)}/neighbours" if blocks > 1 else ""
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).filter("v is not null")
         for b in range(blocks):
             mine = (q if blocks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)).toArrow()
             held = spark.sparkContext.broadcast((mine.column(0).to_numpy(), matrix(mine.column(1).combine_chunks())))
-            part = rows.mapInArrow(_nearest(held, k, metric), "qid long, id long, distance double")
-            result = part if result is None else result.unionAll(part)
+            result = rows.mapInArrow(_nearest(held, k, metric), "qid long, id long, distance double")
+            if blocks > 1:
+                result = _best(result, k).drop("rank")
+                result.write.mode("append").parquet(at)
+                held.destroy()
+        if blocks > 1:
+            result = spark.read.schema("qid long, id long, distance double").parquet(at)
     if result is None:
         result = spark.createDataFrame([], "qid long, id long, distance double")
-    by = Window.partitionBy("qid").orderBy("distance", "id")
-    top = result.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("qid", "rank", "id", "distance")
+    top = _best(result, k)
     if not padded:
         return top
     places = q.select("qid", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
@@ -100,9 +112,9 @@ def knn_join(queries: DataFrame, df: DataFrame, k: int, metric: DistanceMetric |
     return got.select("qid", "rank", F.coalesce("id", F.lit(-1)).cast("long").alias("id"), F.coalesce("distance", F.lit(float("inf"))).alias("distance"))
 
 
-def with_tag(df: DataFrame, label: int, tags_col: str = "tags", most: int = 8) -> DataFrame:
-    """The rows that have a tag. Only a row's first `most` tags count."""
-    return df.filter(F.array_contains(F.slice(tags_col, 1, most), F.lit(label)))
+def with_tag(df: DataFrame, label: int, tags_col: str = "tags") -> DataFrame:
+    """The rows that have a tag, among however many."""
+    return df.filter(F.array_contains(tags_col, F.lit(label)))
 
 
 def without(df: DataFrame, tombstones: DataFrame, id_col: str = "vec_id") -> DataFrame:

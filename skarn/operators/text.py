@@ -39,13 +39,19 @@ class TextIndex:
         return cls(_count(pairs), lengths, analyzer, k1, b, pairs)
 
     def write(self, path: str) -> None:
-        """Postings are sorted by term, so that a search's terms prune row groups."""
-        self.postings.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        """Postings are laid out by ranges of term and document, so that a search's terms prune files and row groups, and a frequent term has many tasks."""
+        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str, analyzer: Analyzer | str = Analyzer.STANDARD, k1: float = 1.2, b: float = 0.75) -> TextIndex:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), analyzer, k1, b)
+    def read(cls, spark: SparkSession, path: str | list[str], analyzer: Analyzer | str = Analyzer.STANDARD, k1: float = 1.2, b: float = 0.75) -> TextIndex:
+        """From one folder, or from several whose documents differ."""
+        paths = [path] if isinstance(path, str) else list(path)
+        postings = spark.read.schema("term string, doc_id long, tf int")
+        lengths = spark.read.schema("doc_id long, doc_len long")
+        if not paths:
+            return cls(spark.createDataFrame([], "term string, doc_id long, tf int"), spark.createDataFrame([], "doc_id long, doc_len long"), analyzer, k1, b)
+        return cls(postings.parquet(*[f"{p}/postings" for p in paths]), lengths.parquet(*[f"{p}/lengths" for p in paths]), analyzer, k1, b)
 
     def totals(self) -> DataFrame:
         """One row: n, total_doc_length, avgdl."""

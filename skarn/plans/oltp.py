@@ -47,3 +47,45 @@ def restock(stock: DataFrame, sold: DataFrame, *, item: str, quantity: str) -> D
     left = F.col(quantity) - F.coalesce("_sold", F.lit(0))
     refill = F.when(left < 10, F.ceil((10 - left) / 91)).otherwise(0) * 91
     return stock.join(sums, F.col(item) == F.col("_i"), "left").withColumn(quantity, left + refill).drop("_i", "_sold")
+
+
+def new_orders(requests: DataFrame, stock: DataFrame, prices: DataFrame, *, first_order: int, first_day: str = "1998-08-03") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The orders, order lines and stock after requests (customer, request, item, quantity).
+
+    Orders are numbered from first_order by request, lines within an order by item; a line's amount is quantity x price. A
+    request with an item that isn't in stock's table is refused whole.
+    """
+    unknown = requests.join(stock.select("item"), "item", "left_anti").select("request").distinct()
+    good = requests.join(unknown, "request", "left_anti")
+    by_request = good.groupBy("request").agg(F.min("customer").alias("customer"), F.count(F.lit(1)).alias("n_lines"))
+    orders = by_request.withColumn("order", F.col("request") + F.lit(first_order)).withColumn("day", F.lit(first_day).cast("date")).withColumn("status", F.lit("O"))
+    by = Window.partitionBy("request").orderBy("item", "quantity")
+    lines = good.withColumn("line", F.row_number().over(by)).join(prices, "item")
+    lines = lines.select((F.col("request") + F.lit(first_order)).alias("order"), "line", "item", "quantity", (F.col("quantity") * F.col("price")).alias("amount"))
+    left = restock(stock, good.select("item", F.col("quantity").alias("sold")), item="item", quantity="in_stock")
+    return orders.select("order", "customer", "day", "status", "n_lines"), lines, left
+
+
+def deliver(orders: DataFrame, lines: DataFrame, customers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Delivery of the oldest open order of each district: orders (district, order, customer, status) with the delivered ones closed, and
+    customers (customer, balance) with the amounts of their lines (order, amount) added."""
+    oldest = oldest_open(orders, lines, district="district", order="order", status="status", open_status="O", line_order="order", amount="amount")
+    oldest = oldest.select(F.col("order_key").alias("order"), "amount", F.lit(True).alias("_done"))
+    after = orders.join(oldest, "order", "left")
+    due = after.filter("_done").groupBy("customer").agg(F.sum("amount").alias("_due"))
+    closed = after.select("district", "order", "customer", F.when(F.col("_done"), F.lit("F")).otherwise(F.col("status")).alias("status"))
+    paid = customers.join(due, "customer", "left").select("customer", (F.col("balance") + F.coalesce("_due", F.lit(0.0))).alias("balance"))
+    return closed, paid
+
+
+#: Transactions and their shares in percent.
+MIX = (("payment", 43), ("order_status", 4), ("delivery", 4), ("stock_level", 4), ("new_order", 45))
+
+
+def transaction_mix(draws: DataFrame, draw: str = "draw") -> DataFrame:
+    """draws with `transaction`: which one a number from 0 to 99 stands for."""
+    out, low = F.lit(None).cast("string"), 100
+    for name, share in reversed(MIX):
+        low -= share
+        out = F.when(F.col(draw) >= low, F.coalesce(out, F.lit(name))).otherwise(out)
+    return draws.withColumn("transaction", out)

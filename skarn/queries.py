@@ -577,18 +577,26 @@ WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w
 
 @query(
     f"""
-    WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id)::INT AS rank, len({WORDS}) AS n_words, sum(len({WORDS})) OVER (ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS total FROM documents WHERE lang = 'es' AND n_chars <= 900)
+    WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id)::INT AS rank, len({WORDS}) AS n_words, sum(len({WORDS})) OVER (ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS total FROM documents WHERE len({WORDS}) > 0)
     SELECT rank, doc_id, n_words::INT AS n_words, total::BIGINT AS total_words FROM r WHERE total <= 2000
     """
 )
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest Spanish texts of up to 900 characters, as a ranked list."""
-    rows = table(spark, sf_dir, "documents").filter("lang = 'es' AND n_chars <= 900")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id"))).withColumnRenamed("text", "content")
+    """All texts as a list ranked from the shortest on, of which the first 2,000 with a word can fill the context."""
+    rows = table(spark, sf_dir, "documents").filter(F.coalesce("text", F.lit("")).rlike(r"\S")).orderBy("n_chars", "doc_id").limit(2000)
+    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy("n_chars", "doc_id"))).withColumnRenamed("text", "content")
     return hybrid.pack_context(ranked, 2000).select("rank", "doc_id", "n_words", "total_words")
 
 
-@query()
+@query(
+    f"""
+    WITH w AS (SELECT item_id, coalesce(text, '') AS content, {WORDS} AS words FROM benchmark),
+         h AS (SELECT *, list_transform(words, lambda x: CASE WHEN list_contains(['erst', 'thing', 'que'], trim(lower(x), '.,!?')) THEN 1 ELSE 0 END) AS hits FROM w),
+         s AS (SELECT *, list_transform(range(0, len(words)), lambda i: list_sum(hits[i + 1:i + 30])) AS sums FROM h),
+         p AS (SELECT *, list_position(sums, list_max(sums)) - 1 AS p FROM s)
+    SELECT item_id, CASE WHEN len(words) <= 30 THEN content ELSE CASE WHEN p > 0 THEN '...' ELSE '' END || array_to_string(words[p + 1:p + 30], ' ') || CASE WHEN p + 30 < len(words) THEN '...' ELSE '' END END AS snippet FROM p
+    """
+)
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark")
     return rows.select("item_id", snippet(F.coalesce("text", F.lit("")), ["erst", "thing", "que"]).alias("snippet"))
@@ -635,7 +643,13 @@ def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_documents(table(spark, sf_dir, "documents"), 500, 100)
 
 
-@query()
+@query(
+    """
+    SELECT * FROM (VALUES (1::BIGINT, 'vectors', 'hnsw', 'active', 64::INT, 1000000::BIGINT, '{"M": 16, "ef_construction": 100, "max_elements": 1000000, "metric": "l2"}', NULL::VARCHAR),
+                          (3, 'text', 'text', 'active', 0, 1000000, '{"analyzer": "standard", "b": 0.75, "k1": 1.2, "metric": "l2"}', NULL),
+                          (4, 'by_lang', 'btree', 'active', 0, 1000000, '{"fields": ["lang", "n_chars"], "metric": "l2", "unique": false}', NULL)) t(index_id, name, type, status, dimensions, max_elements, config, collection)
+    """
+)
 def catalog_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Workspace(spark, scratch_folder(spark), True) as ws:
         catalog = IndexCatalog(ws)
@@ -720,3 +734,6 @@ def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(both.select("vec_id", *[distance(m, F.col("a"), F.col("b")).alias(m) for m in ("l2", "ip", "cosine")]), "l2", "ip", "cosine")
 
 
+# -- calls of the engine's own objects; these register themselves ------------------------------------------------------
+
+from skarn import api_queries  # noqa: E402, F401

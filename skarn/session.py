@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import socket
 from enum import Enum
 
 from pyspark.sql import SparkSession
@@ -48,7 +49,8 @@ def spark_session(cores: int | str = "*", shuffle_partitions: int | None = None,
 
 
 class Workspace:
-    """An open data folder. One process holds it at a time; its lock file names the holder.
+    """An open data folder. One process holds it at a time; its lock file names the holder and its host. A lock of
+    this host whose process has ended is taken over; one of another host is not.
 
     The folder may be on any file system that the driver can write to; tables in it are Parquet.
     """
@@ -72,14 +74,17 @@ class Workspace:
         while True:
             try:
                 with open(at, "x") as f:
-                    json.dump({"pid": os.getpid()}, f)
+                    json.dump({"pid": os.getpid(), "host": socket.gethostname()}, f)
                 return
             except FileExistsError:
                 try:
                     with open(at) as f:
-                        pid = json.load(f)["pid"]
+                        held = json.load(f)
+                    pid, host = held["pid"], held.get("host")
                 except (ValueError, KeyError, FileNotFoundError):
-                    pid = None
+                    pid, host = None, None
+                if host is not None and host != socket.gethostname():
+                    raise RuntimeError(f"data folder is in use by process {pid} of {host}, which can't be checked from here; remove {at} if it has ended") from None
                 if pid is not None and os.path.exists(f"/proc/{pid}"):
                     raise RuntimeError(f"data folder is in use by process {pid}: {self.data_dir}") from None
                 try:
