@@ -9,12 +9,14 @@ block, whose sets are stored in a trie that all of them traverse at once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skarn.llm import kernel
 from skarn.llm.common import attach, partitions, stored, text_hash
@@ -23,6 +25,10 @@ from skarn.llm.components import connected_components
 U64, MASK48 = np.uint64, np.uint64((1 << 48) - 1)
 NO_ID = -(1 << 63)
 FLUSH = 3_000_000
+#: An n-gram that so many classes of one flush have is hot: it goes to its classes' partitions without passing its own.
+HOT = 32
+#: What stands for the number of classes of every n-gram that is hot in some flush.
+HOT_DF = 65_535
 ROWS = "part int, kind int, a binary, b binary, c binary, d binary, e binary"
 
 
@@ -75,7 +81,7 @@ def _by_owner(owner: np.ndarray, item: np.ndarray, part: np.ndarray, parts: int)
             yield int(part[lo]), own[first], np.diff(np.append(first, hi - lo)), item[lo:hi]
 
 
-def _emit(parts: int, k: int):
+def _emit(parts: int, k: int, least: int):
     """Map side: the n-grams of the task's distinct sets by hash partition, and a line for each document."""
 
     def flush(held: list, ids: list) -> Iterator[pa.RecordBatch]:
@@ -91,6 +97,19 @@ def _emit(parts: int, k: int):
         own = np.repeat(np.arange(len(n)), n)
         keep = use[own]
         h, own = h[keep], own[keep]
+        order = np.argsort(h)
+        edge = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1], [True]]))
+        many = np.diff(edge) >= least
+        if many.any():
+            first = order[edge[:-1][many]]
+            for p, _, _, items in _by_owner(np.zeros(len(first), np.int64), h[first] // U64(parts), h[first] % U64(parts), parts):
+                rows.append((p, 3, _pack48(items & MASK48), None, None, None, None))
+            hot = np.zeros(len(h), bool)
+            hot[order] = np.repeat(many, np.diff(edge))
+            token = (h[hot] // U64(parts) & MASK48) * U64(parts) + h[hot] % U64(parts)
+            for q, o, c, items in _by_owner(own[hot], token, e[own[hot]] % U64(parts), parts):
+                rows.append((q, 2, items.tobytes(), np.full(len(items), HOT_DF, "<u2").tobytes(), e[o].tobytes(), n[o].astype("<i4").tobytes(), c.astype("<i4").tobytes()))
+            h, own = h[~hot], own[~hot]
         for p, o, c, items in _by_owner(own, h // U64(parts), h % U64(parts), parts):
             rows.append((p, 1, _pack48(items & MASK48), c.astype("<u2" if c.max() < 65_536 else "<u4").tobytes(), e[o].tobytes(), n[o].astype("<i4").tobytes(), None))
         yield from _in_parts(rows)
@@ -117,11 +136,11 @@ def _emit(parts: int, k: int):
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> tuple[list[tuple], dict[int, list[tuple]]]:
-    """The lines of documents as they are, and the other rows by part."""
+    """The rows that only pass (lines of documents, hot n-grams of classes) as they are, and the other rows by part."""
     lines, by = [], {}
     for batch in batches:
         for r in zip(*(c.to_pylist() for c in batch.columns)):
-            if r[1] == 0:
+            if r[1] in (0, 2):
                 lines.append(r)
             else:
                 by.setdefault(r[0], []).append(r)
@@ -140,12 +159,19 @@ def _classes(e: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _shared(parts: int):
-    """By n-gram partition: the n-grams that two classes or more have, with that number, sent to the classes' partitions."""
+    """By n-gram partition: the n-grams that two classes or more have, with that number, sent to the classes' partitions.
+
+    Of a hot n-gram only the classes of flushes where it isn't hot come here: fewer than that of each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines, by = _gather(batches)
-        yield from _in_parts(lines)
+        yield from _in_parts([(r[0], r[1] and 1, *r[2:]) for r in lines])
         for p, rows in by.items():
+            hot = np.unique(np.concatenate([np.zeros(0, U64), *[_unpack48(r[2]) for r in rows if r[1] == 3]]))
+            rows = [r for r in rows if r[1] == 1]
+            if not rows:
+                continue
             token = np.concatenate([_unpack48(r[2]) for r in rows])
             sizes = [len(r[4]) // 8 for r in rows]
             count = np.concatenate([np.frombuffer(r[3], "<u2" if len(r[3]) == 2 * s else "<u4") for r, s in zip(rows, sizes)]).astype(np.int64)
@@ -156,6 +182,8 @@ def _shared(parts: int):
             token, own = token[order], own[order]
             same = token[1:] == token[:-1]
             more = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            if len(hot):
+                more |= hot[np.minimum(np.searchsorted(hot, token), len(hot) - 1)] == token
             token, own = token[more], own[more]
             order = np.lexsort((own, token))
             token, own = token[order], own[order]
@@ -166,9 +194,11 @@ def _shared(parts: int):
                 continue
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             size = np.diff(np.append(first, len(token)))
-            df = np.repeat(size, size)
+            df = np.minimum(np.repeat(size, size), HOT_DF - 1)
+            if len(hot):
+                df[hot[np.minimum(np.searchsorted(hot, token), len(hot) - 1)] == token] = HOT_DF
             keep = df > 1
-            token, own, df = token[keep] * U64(parts) + U64(p), own[keep], np.minimum(df[keep], 65_535)
+            token, own, df = token[keep] * U64(parts) + U64(p), own[keep], df[keep]
             order = np.argsort(own, kind="stable")
             token, own, df = token[order], own[order], df[order]
             out = []
@@ -195,13 +225,19 @@ def _reduced(percent: int):
             count = np.concatenate([np.frombuffer(r[6], "<i4") for r in rows])
             e, n, at = _classes(np.concatenate([np.frombuffer(r[4], U64) for r in rows]), np.concatenate([np.frombuffer(r[5], "<i4") for r in rows]))
             del rows
-            total = np.bincount(at, count, len(e)).astype(np.int64)
             own = np.repeat(at, count)
-            able = 100 * total >= percent * n
-            keep = able[own]
+            total = np.bincount(own, minlength=len(e))  # with a hot n-gram as often as flushes sent it
+            keep = (100 * total >= percent * n)[own]
             token, df, own = token[keep], df[keep], own[keep]
             order = np.lexsort((token, df, own))
-            token, df = token[order], df[order]
+            token, df, own = token[order], df[order], own[order]
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (own[1:] != own[:-1])
+            token, df, own = token[new], df[new], own[new]
+            total = np.bincount(own, minlength=len(e)).astype(np.int64)
+            able = (100 * total >= percent * n) & (total > 0)
+            keep = able[own]
+            token, df = token[keep], df[keep]
             out, lo = [], 0
             for i in np.flatnonzero(able).tolist():
                 hi = lo + int(total[i])
@@ -400,7 +436,7 @@ def _found(e: list, n: list, more: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), pa.array(n, pa.int32()), *[pa.array(x, pa.int64()) for x in (linked, low, root)]], names=["entity", "n", "linked", "low", "root"])
 
 
-def ngram_join(docs: DataFrame, percent: int = 70, k: int = 3, text: str = "text", id_col: str = "doc_id", block: int = 1024) -> DataFrame:
+def ngram_join(docs: DataFrame, percent: int = 70, k: int = 3, text: str = "text", id_col: str = "doc_id", block: int = 1024, block_bytes: int = 8 << 20, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_shingles, n_similar, component_id, text_hash (32 bits, to tell rows of one id apart).
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case; a set is the distinct k-word shingles, or the
@@ -411,14 +447,15 @@ def ngram_join(docs: DataFrame, percent: int = 70, k: int = 3, text: str = "text
     components. Other columns are not read. n-grams are 64-bit hashes, of which 48 bits and the partition
     take part: two different n-grams of one pair of documents agree with a chance below 1e-9.
 
-    A class that many documents share is sent once a task. A block with more than `block` classes is
-    split into chunks, and all pairs of its chunks are joined as blocks of their own.
+    A class that many documents share is sent once a task, and an n-gram that `hot` classes of a task's flush or more share goes to them
+    directly. A block with more than `block` classes or `block_bytes` bytes is split into chunks by set size and then by hash, and those pairs of its
+    chunks whose sizes allow a link are joined as blocks of their own.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
     t = F.col(text).cast("string")
     rows = docs.select(t.alias("_text"), F.col(id_col).cast("long").alias("doc_id"), text_hash(t).alias("text_hash"))
-    tokens = rows.mapInArrow(_emit(parts, k), ROWS).repartitionById(parts, F.col("part"))
+    tokens = rows.mapInArrow(_emit(parts, k, hot), ROWS).repartitionById(parts, F.col("part"))
     back = tokens.mapInArrow(_shared(parts), ROWS).repartitionById(parts, F.col("part"))
     reduced = stored(back.mapInArrow(_reduced(percent), "doc_id long, text_hash int, entity long, n int, prefix int, tokens binary, df binary"), "reduced")
     lines = reduced.filter("prefix is null").select("doc_id", "text_hash", "entity", "n")
@@ -428,14 +465,19 @@ def ngram_join(docs: DataFrame, percent: int = 70, k: int = 3, text: str = "text
     met = sets.select("entity", "n", "prefix", "tokens").mapInArrow(_postings(parts), ROWS).repartitionById(parts, F.col("part"))
     stars = stored(met.mapInArrow(_stars, "head long, head_n int, entity long, n int, tokens binary"), "stars")
     members = stars.filter("entity is not null").select("head", "head_n", "entity", "n").distinct()
-    chunks = members.groupBy("head", "head_n").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_c"))
+    members = members.withColumn("bucket", _bucket(percent))
+    chunks = _chunks(members, block, block_bytes)
     full = sets.join(classes, ["entity", "n"])
-    member = members.join(chunks, ["head", "head_n"]).withColumn("chunk", F.pmod(F.xxhash64("entity", "n"), F.col("_c")).cast("int"))
-    member = member.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_c") - 1))).withColumn("i", F.least("chunk", "_o")).withColumn("j", F.greatest("chunk", "_o"))
+    member = members.join(chunks, ["head", "head_n", "bucket"])
+    member = member.withColumn("chunk", F.when(F.col("_whole"), F.lit(0)).otherwise(F.col("bucket") * CHUNKS + F.pmod(F.xxhash64("entity", "n"), F.col("_c"))).cast("long"))
+    partners = F.when(F.col("_whole"), F.array(F.lit(0).cast("long"))).otherwise(F.concat(_numbers("bucket", "_c"), _numbers("bucket - 1", "_low"), _numbers("bucket + 1", "_up")))
+    member = member.withColumn("_o", F.explode(partners)).withColumn("i", F.least("chunk", "_o")).withColumn("j", F.greatest("chunk", "_o"))
     cols = ["head", "head_n", "entity", "n", "prefix", "tokens", "df", "size", "low", "chunk", "i", "j"]
     member = member.join(full, ["entity", "n"]).select(cols)
-    named = stars.filter("entity is null").join(chunks, ["head", "head_n"])
-    named = named.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_c") - 1))).withColumn("j", F.explode(F.sequence(F.col("i"), F.col("_c") - 1)))
+    whole = chunks.filter("_whole").select("head", "head_n", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")).distinct()
+    split = chunks.filter("not _whole").withColumn("i", F.explode(_numbers("bucket", "_c")))
+    split = split.withColumn("j", F.explode(F.concat(F.filter(_numbers("bucket", "_c"), lambda x: x >= F.col("i")), _numbers("bucket + 1", "_up"))))
+    named = stars.filter("entity is null").join(whole.unionAll(split.select(whole.columns)), ["head", "head_n"])
     none = {c: F.lit(None) for c in ("prefix", "df", "size", "low", "chunk")}
     named = named.withColumns(none).select([F.col(c).cast(dict(member.dtypes)[c]) for c in cols])
     blocks = member.unionAll(named).repartition(parts, "head", "head_n", "i", "j").sortWithinPartitions("head", "head_n", "i", "j")
@@ -450,6 +492,33 @@ def ngram_join(docs: DataFrame, percent: int = 70, k: int = 3, text: str = "text
     return out.select("doc_id", "n_shingles", F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
 
 
+#: More chunks than a size bucket of a block ever has.
+CHUNKS = 1 << 24
+
+
+def _bucket(percent: int) -> F.Column:
+    """Sets whose sizes allow a link lie in one bucket or in neighbouring ones. The width is a little more than the widest ratio, for safety from rounding."""
+    if percent >= 100:
+        return F.col("n").cast("long")
+    return F.floor(F.log(F.col("n").cast("double")) / (1.001 * math.log(100 / percent)))
+
+
+def _numbers(bucket: str, count: str) -> F.Column:
+    return F.expr(f"CASE WHEN {count} > 0 THEN transform(sequence(0, {count} - 1), x -> cast(({bucket}) * {CHUNKS} + x as bigint)) ELSE cast(array() as array<bigint>) END")
+
+
+def _chunks(members: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """By block and size bucket: whether the block stays whole; else the number of chunks here, and in the buckets below and above. An n-gram takes 10 bytes."""
+    w = Window.partitionBy("head", "head_n")
+    o = w.orderBy("bucket")
+    by = members.groupBy("head", "head_n", "bucket").agg(F.count(F.lit(1)).alias("_rows"), (10 * F.sum("n")).alias("_bytes"))
+    by = by.withColumn("_whole", (F.sum("_rows").over(w) <= block) & (F.sum("_bytes").over(w) <= block_bytes))
+    by = by.withColumn("_c", F.when(F.col("_whole"), F.lit(1)).otherwise(F.ceil(F.greatest(F.col("_rows") / block, F.col("_bytes") / block_bytes))).cast("int"))
+    for name, other, step in (("_low", F.lag, -1), ("_up", F.lead, 1)):
+        by = by.withColumn(name, F.when(other("bucket").over(o) == F.col("bucket") + step, other("_c").over(o)).otherwise(F.lit(0)))
+    return by.select("head", "head_n", "bucket", "_whole", "_c", "_low", "_up")
+
+
 def _key() -> F.Column:
     return F.concat_ws("/", F.hex("entity"), F.col("n"))
 

@@ -27,7 +27,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents"))
+    return ngram_join(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -77,6 +77,17 @@ ORACLE_SQL = {
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256
         FROM n JOIN g USING (t)
     """,
+    "op2_ngram_join": r"""
+        WITH RECURSIVE
+             w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+             e AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                   ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS g FROM w),
+             n AS (SELECT doc_id, count(g) AS n_shingles FROM documents LEFT JOIN e USING (doc_id) GROUP BY doc_id),
+             shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+             links AS (SELECT x, y FROM shared JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 70 * (nx.n_shingles + ny.n_shingles - c)),
+             reach AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT y, root FROM reach JOIN links ON x = reach.doc_id)
+        SELECT doc_id, n_shingles, (SELECT count(*) FROM links WHERE x = n.doc_id) AS n_similar, (SELECT min(root) FROM reach WHERE reach.doc_id = n.doc_id) AS component_id FROM n
+    """,
     "op4_url_filter": r"""
         WITH rules(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
              u AS (SELECT page_id, strpos(coalesce(url, ''), '://') AS p, coalesce(url, '') AS url FROM pages),

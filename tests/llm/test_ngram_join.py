@@ -16,11 +16,13 @@ def test_against_all_pairs(docs, pdocs):
     assert result(docs) == similar(list(zip(pdocs.doc_id, pdocs.text)))
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.sampled_from("abcde"), max_size=14), min_size=1, max_size=40), st.sampled_from([2, 1024]))
 def test_small_alphabets(spark, texts, block):
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    assert result(spark.createDataFrame(rows, "doc_id long, text string"), block=block) == similar(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(df, block=block) == similar(rows)
+    assert result(df, block=block, hot=2) == similar(rows)
 
 
 def test_clusters_in_chunks(spark):
@@ -34,9 +36,24 @@ def test_clusters_in_chunks(spark):
         rows.append((i, " ".join(w)))
     want = similar(rows)
     assert result(spark.createDataFrame(rows, "doc_id long, text string"), block=16) == want
+    assert result(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=4000, hot=2) == want
     assert result(spark.createDataFrame(rows, "doc_id long, text string")) == want
 
 
+def test_chunks_by_size(spark):
+    """A block of sets of many sizes that share a rare shingle: chunks of sizes that allow no link never meet, and no link is lost."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(160):
+        w = ["rare", "shared", "words"] + [f"v{j}" for j in range(int(rng.integers(1, 60)))]
+        w[int(rng.integers(3, len(w)))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    df, want = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), similar(rows)
+    assert sum(w[1] for w in want.values()) > 100
+    for kw in ({"block": 4}, {"block_bytes": 1500}, {"block": 4, "hot": 2, "percent": 50}, {"block": 4, "percent": 100}):
+        assert result(df, **kw) == (similar(rows, kw["percent"]) if "percent" in kw else want)
+
+
 def test_odd_rows(odd):
     got = sorted(((r.doc_id, r.n_shingles, r.n_similar, r.component_id) for r in ngram_join(odd).collect()), key=str)
     by = {r[0]: r[1:] for r in got if r[0] is not None}
