@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import heapq
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,7 +16,7 @@ from pyspark.sql.window import Window
 from skarn.llm.common import attach, spread_rank, stored
 
 
-def schedule(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
+def schedule(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, int, int, int]]:
     """LPT over (size, number of groups of that size): rows of size, first, last, shard.
 
     The groups of a size are numbered from 0; first..last go to the shard. Sizes are taken from
@@ -20,9 +25,9 @@ def schedule(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int,
     dealt at once: that is what the heap would do one by one.
     """
     heap = [(0, s) for s in range(shards)]
-    out = []
     for size, count in sorted(sizes, reverse=True):
         done = 0
+        out: list[tuple[int, int, int, int]] = []
         while done < count:
             rounds = (count - done) // shards
             if rounds and max(heap)[0] - heap[0][0] <= size:
@@ -34,12 +39,29 @@ def schedule(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int,
                 continue
             load, s = heap[0]
             heapq.heapreplace(heap, (load + size, s))
-            if out and out[-1][0] == size and out[-1][3] == s and out[-1][2] == done - 1:
+            if out and out[-1][3] == s and out[-1][2] == done - 1:
                 out[-1] = (size, out[-1][1], done, s)
             else:
                 out.append((size, done, done, s))
             done += 1
-    return out
+        yield from out
+
+
+def plan_table(sizes: pa.Table, shards: int) -> pa.Table:
+    """The schedule of sizes (_bytes, count): for each size its shards, and the first group's number of each shard's run."""
+    first, shard, ends, order = array("q"), array("i"), array("q", [0]), array("q")
+    pairs = zip(sizes.column("_bytes").to_pylist(), sizes.column("count").to_pylist())
+    for size, runs in groupby(schedule(pairs, shards), lambda r: r[0]):
+        order.append(size)
+        for _, lo, _, s in runs:
+            first.append(lo)
+            shard.append(s)
+        ends.append(len(first))
+    at = pa.array(np.array(ends), pa.int64())
+    lists = [pa.LargeListArray.from_arrays(at, pa.array(np.array(x))) for x in (first, shard)]
+    count = dict(zip(sizes.column("_bytes").to_pylist(), sizes.column("count").to_pylist()))
+    names = pa.array([str(x) for x in order], pa.string())
+    return pa.table({"_size": names, "_first": lists[0], "_shard": lists[1], "_count": pa.array([count[x] for x in order], pa.int64())})
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -51,7 +73,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, text: str = "text", id_co
     from 0 in each shard, in the order of doc_id. Fewer groups than shards leave shards empty.
 
     The driver gets the distinct group sizes with their counts, not the groups. Distinct sizes sum
-    up to at most the bytes of the corpus, so there are at most sqrt(2 x bytes) of them.
+    up to at most the bytes of the corpus, so there are at most sqrt(2 x bytes) of them (14 million for 100 TB: about half a
+    GB as arrays). The plan is a table with one row a size, which groups join by their size; sizes that many groups have are broadcast (attach()).
     """
     spark = docs.sparkSession
     t = F.col(text).cast("string")
@@ -64,11 +87,12 @@ def shard_documents(docs: DataFrame, shards: int = 24, text: str = "text", id_co
     rows = stored(rows, "sizes")
     groups = rows.groupBy("group_sha256").agg(F.count(F.lit(1)).alias("_rows"), F.sum("size").alias("_bytes"))
     groups = stored(spread_rank(groups, ["_bytes"], ["group_sha256"], "_nth"), "groups")
-    sizes = groups.groupBy("_bytes").count().toPandas()
-    plan = schedule(list(zip(sizes["_bytes"].tolist(), sizes["count"].tolist())), shards)
-    table = spark.createDataFrame(plan or [(0, 0, -1, 0)], "_size long, _first long, _last long, shard int")
-    on = (F.col("_bytes") == F.col("_size")) & F.col("_nth").between(F.col("_first"), F.col("_last"))
-    placed = groups.join(table, on).select("group_sha256", "_rows", "shard")
+    plan = plan_table(groups.groupBy("_bytes").count().toArrow(), shards)
+    if not plan.num_rows:
+        return spark.createDataFrame([], f"doc_id {dict(rows.dtypes)['doc_id']}, size long, text_crc32 long, law string, shard int, slot long, grown_shard int, group_sha256 string")
+    placed = attach(groups.withColumn("_size", F.col("_bytes").cast("string")), spark.createDataFrame(plan), "_size", F.col("group_sha256"), "_count", groups.count())
+    run = F.size(F.filter("_first", lambda x: x <= F.col("_nth")))
+    placed = placed.select("group_sha256", "_rows", F.element_at("_shard", run).cast("int").alias("shard"))
     out = attach(rows, placed, "group_sha256", F.col("doc_id"), "_rows", rows.count())
     out = spread_rank(out, ["shard"], ["doc_id", "group_sha256"], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_sha256")
