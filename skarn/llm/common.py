@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,21 +29,41 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_made: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
+    if _made:
+        _made[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_stored(*dfs: DataFrame) -> None:
     """Delete tables that stored() wrote and that no later query reads."""
     for df in dfs:
-        for path in {os.path.dirname(f) for f in df.inputFiles()}:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, {os.path.dirname(f) for f in df.inputFiles()})
+
+
+def stored_alone(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """What make() gives, stored; all tables that it stored on the way are deleted then."""
+    _made.append([])
+    try:
+        out = stored(make(), name)
+        *others, _ = _made[-1]
+        _delete(spark, others)
+    finally:
+        _made.pop()
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

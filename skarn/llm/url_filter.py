@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +63,8 @@ class Index:
 def _judge(name: str, default: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _open:
+            while len(_open) >= 8:
+                _open.pop(next(iter(_open)))
             _open[name] = Index(os.path.join(SparkFiles.getRootDirectory(), name))
         index = _open[name]
         for batch in batches:
@@ -111,11 +113,12 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], *, url: str = "ur
     read. The rule files are sent to each executor once (SparkContext.addFile) and memory-mapped.
     """
     distinct = list({r: v for v, r in reversed(rules)}.items())
-    name = f"rules-{uuid.uuid4().hex}"
+    name = f"rules-{hashlib.sha256(repr(distinct).encode()).hexdigest()[:32]}"  # the same rules are sent once a session
     folder = os.path.join(SparkFiles.getRootDirectory(), f"made-{name}")  # the driver's own folder of files to send
-    os.makedirs(folder)
-    for f in Index.build([(v, r) for r, v in distinct], os.path.join(folder, name)):
-        pages.sparkSession.sparkContext.addFile(f)
+    if not os.path.exists(folder):
+        os.makedirs(folder)
+        for f in Index.build([(v, r) for r, v in distinct], os.path.join(folder, name)):
+            pages.sparkSession.sparkContext.addFile(f)
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     kind = dict(rows.dtypes)["page_id"]
     return rows.mapInArrow(_judge(name, default), f"page_id {kind}, host string, path string, rule string, verdict string")
