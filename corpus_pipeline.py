@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm.common import stored
+from skarn.llm.common import drop_stored, stored_alone
 from skarn.llm.exact_dedup import drop_copies
 from skarn.llm.ngram_join import drop_similar
 from skarn.llm.packing import pack
@@ -51,6 +53,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored_alone(partial(stage, spark, docs, sf_dir), spark, name)
+        if before is not None:
+            drop_stored(before)
+        before = docs
     return docs
