@@ -221,15 +221,64 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _table(out, WORDS)
 
 
-def columns(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Words left out or added at one place that the ends of an alignment may have beyond the chain.
+SHIFTS = (0, 1, -1, 2, -2, 3, -3)
+
+
+def tail(x: np.ndarray, y: np.ndarray, identity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns of the alignment of x and y from their first words on: at each unequal word it takes the shift after which most is gained."""
+    xs, ys, same = [], [], []
+
+    def add(u: int, v: int, n: int) -> None:
+        xs.append(np.arange(u, u + n))
+        ys.append(np.arange(v, v + n))
+        same.append(x[u : u + n] == y[v : v + n])
+
+    u = v = 0
+    while True:
+        m = min(len(x) - u, len(y) - v)
+        equal = x[u : u + m] == y[v : v + m]
+        t = m if equal.all() else int(equal.argmin())
+        add(u, v, t)
+        if t == m:
+            break
+        u, v = u + t, v + t
+        best, shift, upto = 1e-9, None, 0
+        for d in SHIFTS:
+            i, j = u + max(d, 0), v + max(-d, 0)
+            n = min(len(x) - i, len(y) - j)
+            if n > 0:
+                gain = np.cumsum(np.where(x[i : i + n] == y[j : j + n], 1 - identity, -identity))
+                top = int(gain.argmax())
+                if gain[top] - identity * abs(d) > best:
+                    best, shift, upto = gain[top] - identity * abs(d), d, top + 1
+        if shift is None:
+            add(u, v, m - t)
+            break
+        xs.append(u + np.arange(abs(shift)) * (shift > 0))
+        ys.append(v + np.arange(abs(shift)) * (shift < 0))
+        same.append(np.zeros(abs(shift), bool))
+        u, v = u + max(shift, 0), v + max(-shift, 0)
+        add(u, v, upto)
+        u, v = u + upto, v + upto
+    return np.concatenate(xs), np.concatenate(ys), np.concatenate(same)
+
+
+def columns(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, k: int, identity: float = 0.8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The alignment along a chain: for each column, the next word of x and of y, and whether they are equal.
 
-    Seeds on one diagonal, and the words before the first and after the last, are compared word by word;
-    where the diagonal changes, the words between are compared from both ends.
+    Seeds on one diagonal are compared word by word;
+    where the diagonal changes, the words between are compared from both ends. The words before the first seed and after the last
+    are compared word by word too; with three seeds or more, tail() looks for left out and added words there.
     """
+    wide = len(a) > 2
     n = int(min(a[0], b[0]))
-    xs, ys = [np.arange(a[0] - n, a[0])], [np.arange(b[0] - n, b[0])]
-    same = [x[a[0] - n : a[0]] == y[b[0] - n : b[0]]]
+    if wide:
+        p, q, s = tail(x[: a[0]][::-1], y[: b[0]][::-1], identity)
+        xs, ys, same = [a[0] - 1 - p[::-1]], [b[0] - 1 - q[::-1]], [s[::-1]]
+    else:
+        xs, ys = [np.arange(a[0] - n, a[0])], [np.arange(b[0] - n, b[0])]
+        same = [x[a[0] - n : a[0]] == y[b[0] - n : b[0]]]
 
     def compare(s: int, t: int, m: int) -> None:
         xs.append(np.arange(s, s + m))
@@ -257,7 +306,11 @@ def columns(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, k: int)
             u, v = end, t + end - s
         else:
             u, v = max(u, s), max(v, t)
-    compare(u, v, min(len(x) - u, len(y) - v))
+    if wide:
+        p, q, s = tail(x[u:], y[v:], identity)
+        xs, ys, same = [*xs, u + p], [*ys, v + q], [*same, s]
+    else:
+        compare(u, v, min(len(x) - u, len(y) - v))
     return np.concatenate(xs), np.concatenate(ys), np.concatenate(same)
 
 
@@ -292,7 +345,7 @@ def best_parts(same: np.ndarray, identity: float) -> list[tuple[int, int]]:
 
 def align(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, k: int, identity: float) -> list[tuple[int, int, int, int, int]]:
     """Start and end in x, start and end in y, and equal words, of each part of k words or more along a chain."""
-    xs, ys, same = columns(x, y, a, b, k)
+    xs, ys, same = columns(x, y, a, b, k, identity)
     return [
         (int(xs[lo]), int(xs[hi - 1]) + 1, int(ys[lo]), int(ys[hi - 1]) + 1, int(np.count_nonzero(same[lo:hi])))
         for lo, hi in best_parts(same, identity)

@@ -61,3 +61,25 @@ def shared_runs(rows, n=50):
         for g in grams:
             seen.setdefault(g, i)
     return out
+
+
+def best_alignment(x, y, equal=0.2, other=-0.8):
+    """The best local alignment of two lists of words, by all cells: score, start and end in x, columns and equal ones."""
+    best = (0.0, 0, 0, 0, 0)
+    before = [(0.0, 0, 0, 0)] * (len(y) + 1)  # score, start in x, columns, equal columns
+    for i, a in enumerate(x):
+        row = [(0.0, i + 1, 0, 0)]
+        for j, b in enumerate(y):
+            s, at, n, same = before[j]
+            hit = a == b
+            cell = (s + (equal if hit else other), at, n + 1, same + hit) if s > 0 or hit else (0.0, i + 1, 0, 0)
+            if s <= 0 and hit:
+                cell = (equal, i, 1, 1)
+            for s, at, n, same in (before[j + 1], row[j]):
+                if s + other > cell[0]:
+                    cell = (s + other, at, n + 1, same)
+            row.append(cell if cell[0] > 0 else (0.0, i + 1, 0, 0))
+            if row[-1][0] > best[0]:
+                best = (row[-1][0], row[-1][1], i + 1, row[-1][2], row[-1][3])
+        before = row
+    return best

@@ -2,7 +2,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from brute import WORD, shared_runs
+from brute import WORD, best_alignment, shared_runs
 from skarn.llm.substring_dedup import best_parts, chain, columns, cut_passages, repeated_passages
 
 
@@ -127,3 +127,37 @@ def test_unlike_texts_under_one_id(spark):
     found, left = seen.pop()
     assert found == ((2, 12, 72), (3, 0, 60), (3, 2, 62))
     assert left == ((1, passage), (2, ""), (2, "one short text"), (2, "x y z " * 4), (3, "end"), (3, "w0 other "))
+
+
+def test_fuzzy_rows_against_all_pairs(spark):
+    """Copies with words changed, added and left out: what an alignment of all pairs finds, and nothing that it doesn't."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    passages = [[word() for _ in range(90)] for _ in range(3)]
+    rows = []
+    for i in range(15):
+        w = [word() for _ in range(40)]
+        if i % 5 < 3:
+            p, j = list(passages[i % 5]), 17 + int(rng.integers(0, 4))
+            while i >= 5 and j < len(p):
+                p[j : j + 1] = [[], [word()], [word(), p[j]]][int(rng.integers(0, 3))]
+                j += 17 + int(rng.integers(0, 4))
+            w[20:20] = p
+        if i == 14:
+            w[10:10] = passages[0][:30]  # too short to be listed
+        rows.append((i, " ".join(w)))
+    texts = [t.split() for _, t in rows]
+    want, near = {}, {}
+    for i, x in enumerate(texts):
+        for y in texts[:i]:
+            score, lo, hi, n, same = best_alignment(x, y)
+            if n:
+                near.setdefault(i, set()).update(range(lo - 3, hi + 3))
+            if hi - lo >= 50:
+                assert same >= 0.8 * n
+                want.setdefault(i, set()).update(range(lo, hi))
+    assert set(want) == {5, 6, 7, 10, 11, 12}
+    got = spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert set(got) == set(want)
+    for i, words in want.items():
+        assert len(words & got[i]) >= 0.97 * len(words) and got[i] <= near[i]
