@@ -25,7 +25,7 @@ def unpack_table(packed: tuple[bytes, bytes]) -> dict[str, int]:
 
 
 def _words(source: Broadcast, most: int):
-    """The most frequent words of a task's rows, with their numbers."""
+    """The most frequent of the words that a task's rows have twice or more, with their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(source.value)
@@ -33,18 +33,20 @@ def _words(source: Broadcast, most: int):
         for batch in batches:
             for text in each_text(batch):
                 seen.update(w for w in c.words(text) if len(w) <= 48 and "\n" not in w)
-        if seen:
-            words, n = zip(*seen.most_common(most))
+        top = [(w, n) for w, n in seen.most_common(most) if n > 1]
+        if top:
+            words, n = zip(*top)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
 
     return run
 
 
-def frequent(docs: DataFrame, source: Broadcast, sample: int = 4096, most: int = 65_536, text: str = "text") -> dict[str, int]:
+def frequent(docs: DataFrame, source: Broadcast, sample: int = 2048, most: int = 65_536, text: str = "text") -> dict[str, int]:
     """Token counts of the `most` most frequent words of a random sample of about `sample` rows.
 
-    A task that has rows of the sample sends its 16,384 most frequent words with their numbers to the driver, so that at most
-    16,384 x sample pairs arrive, and nothing is shuffled. The table only saves work: no count depends on it.
+    A task that has rows of the sample sends to the driver the words that they have twice or more, with their numbers: at most
+    16,384 of them, so at most 16,384 x sample pairs arrive, however large the table, and nothing is shuffled. The
+    table only saves work: no count depends on it.
     """
     total = docs.count()
     rows = docs.select(F.col(text).cast("string").alias("text"))
@@ -69,7 +71,7 @@ def _count(source: Broadcast, table: Broadcast, limit: int):
     return run
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text", id_col: str = "doc_id", sample: int = 4096, most: int = 65_536) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text", id_col: str = "doc_id", sample: int = 2048, most: int = 65_536) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     A table of frequent words with their token counts (frequent(): at most `most` words of up to 48 characters, from about
