@@ -85,11 +85,11 @@ def knn_join(queries: DataFrame, df: DataFrame, k: int, metric: DistanceMetric |
     metric = DistanceMetric.parse(metric)
     spark = df.sparkSession
     q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvec_col).alias("v")).filter("v is not null")
-    first = q.select(F.size("v")).limit(1).collect()
+    asked, dim = q.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     result = None
-    if first:
-        fit = max(1, QUERY_BYTES // (8 * max(1, first[0][0])))
-        blocks = -(-q.count() // fit)
+    if asked:
+        fit = max(1, QUERY_BYTES // (8 * max(1, dim)))
+        blocks = -(-asked // fit)
         at = f"{scratch_folder(spark)}/neighbours" if blocks > 1 else ""
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).filter("v is not null")
         for b in range(blocks):

@@ -26,11 +26,15 @@ def _count(pairs: DataFrame) -> DataFrame:
 
 
 class TextIndex:
-    """Postings (term, doc_id, tf) and lengths (doc_id, doc_len) of the documents that have terms."""
+    """Postings (term, doc_id, tf) and lengths (doc_id, doc_len) of the documents that have terms.
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame, analyzer: Analyzer | str = Analyzer.STANDARD, k1: float = 1.2, b: float = 0.75, occurrences: DataFrame | None = None) -> None:
+    Stored postings have the document's length too, and frequencies (term, df) lie beside them, so that a search joins its terms once.
+    """
+
+    def __init__(self, postings: DataFrame, lengths: DataFrame, analyzer: Analyzer | str = Analyzer.STANDARD, k1: float = 1.2, b: float = 0.75, occurrences: DataFrame | None = None, frequencies: DataFrame | None = None) -> None:
         self.postings, self.lengths, self.analyzer, self.k1, self.b = postings, lengths, Analyzer(analyzer), k1, b
         self.occurrences = occurrences  # what postings count, where they aren't stored: a search then counts its own terms only
+        self.frequencies = frequencies  # of the parts of a stored index; they add up
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "content", analyzer: Analyzer | str = Analyzer.STANDARD, k1: float = 1.2, b: float = 0.75) -> TextIndex:
@@ -40,18 +44,20 @@ class TextIndex:
 
     def write(self, path: str) -> None:
         """Postings are laid out by ranges of term and document, so that a search's terms prune files and row groups, and a frequent term has many tasks."""
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        lengths = self.postings.sparkSession.read.schema("doc_id long, doc_len long").parquet(f"{path}/lengths")
+        rows = self.postings.join(lengths, "doc_id").select("term", "doc_id", "tf", "doc_len")
+        rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        stored = self.postings.sparkSession.read.parquet(f"{path}/postings")
+        stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/frequencies")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str | list[str], analyzer: Analyzer | str = Analyzer.STANDARD, k1: float = 1.2, b: float = 0.75) -> TextIndex:
         """From one folder, or from several whose documents differ."""
         paths = [path] if isinstance(path, str) else list(path)
-        postings = spark.read.schema("term string, doc_id long, tf int")
-        lengths = spark.read.schema("doc_id long, doc_len long")
-        if not paths:
-            return cls(spark.createDataFrame([], "term string, doc_id long, tf int"), spark.createDataFrame([], "doc_id long, doc_len long"), analyzer, k1, b)
-        return cls(postings.parquet(*[f"{p}/postings" for p in paths]), lengths.parquet(*[f"{p}/lengths" for p in paths]), analyzer, k1, b)
+        kinds = {"postings": "term string, doc_id long, tf int, doc_len long", "lengths": "doc_id long, doc_len long", "frequencies": "term string, df long"}
+        got = {n: spark.read.schema(s).parquet(*[f"{p}/{n}" for p in paths]) if paths else spark.createDataFrame([], s) for n, s in kinds.items()}
+        return cls(got["postings"], got["lengths"], analyzer, k1, b, frequencies=got["frequencies"])
 
     def totals(self) -> DataFrame:
         """One row: n, total_doc_length, avgdl."""
@@ -59,10 +65,12 @@ class TextIndex:
 
     def stats(self) -> DataFrame:
         """One row: vocab_size, doc_count, total_doc_length, avg_doc_len."""
-        vocab = self.postings.agg(F.countDistinct("term").alias("vocab_size"))
+        vocab = (self.postings if self.frequencies is None else self.frequencies).agg(F.countDistinct("term").alias("vocab_size"))
         return vocab.crossJoin(self.totals().select(F.col("n").alias("doc_count"), "total_doc_length", F.col("avgdl").alias("avg_doc_len")))
 
     def document_frequencies(self) -> DataFrame:
+        if self.frequencies is not None:
+            return self.frequencies.groupBy("term").agg(F.sum("df").alias("df"))
         return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def scores(self, queries: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -72,10 +80,16 @@ class TextIndex:
         """
         wanted = queries.select("qid", F.explode(tokens(F.col("query"), self.analyzer)).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
         terms = wanted.select("term").distinct()
-        mine = self.postings.join(terms, "term", "left_semi") if self.occurrences is None else _count(self.occurrences.join(terms, "term", "left_semi"))
-        df = mine.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        hits = mine if ids is None else mine.join(ids.select("doc_id"), "doc_id", "left_semi")
-        hits = hits.join(wanted.join(df, "term"), "term").join(self.lengths, "doc_id").crossJoin(F.broadcast(self.totals()))  # one row
+        if self.frequencies is not None:
+            df = self.frequencies.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+            hits = self.postings.join(wanted.join(df, "term"), "term")
+        else:
+            mine = self.postings.join(terms, "term", "left_semi") if self.occurrences is None else _count(self.occurrences.join(terms, "term", "left_semi"))
+            df = mine.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+            hits = mine.join(wanted.join(df, "term"), "term").join(self.lengths, "doc_id")
+        if ids is not None:
+            hits = hits.join(ids.select("doc_id"), "doc_id", "left_semi")
+        hits = hits.crossJoin(F.broadcast(self.totals()))  # one row
         share = F.col("times") * term_score(F.col("tf"), F.col("df"), F.col("doc_len"), F.col("n"), F.col("avgdl"), self.k1, self.b)
         return hits.withColumn("_s", share).groupBy("qid", "doc_id").agg(F.round(F.sum("_s"), 10).alias("score"))  # equal documents tie, in whatever order terms are added
 

@@ -435,8 +435,17 @@ query(_plain_sql(r"string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+')"),
 query(_plain_sql("[coalesce(text, '')]"), "tokenize_none")(_plain(Analyzer.NONE))
 
 
+_indices: dict[tuple[str, str], TextIndex] = {}
+
+
 def _index(spark: SparkSession, sf_dir: str) -> TextIndex:
-    return TextIndex.build(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
+    """The text index of all documents: written at a session's first use, and read by all its queries."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _indices:
+        path = f"{scratch_folder(spark)}/text"
+        TextIndex.build(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").write(path)
+        _indices[at] = TextIndex.read(spark, path)
+    return _indices[at]
 
 
 @query(f"WITH {INDEX} SELECT (SELECT count(*) FROM df) AS vocab_size, n AS doc_count, (SELECT sum(doc_len) FROM dl)::BIGINT AS total_doc_length, round(avgdl, 4) AS avg_doc_len FROM st")
