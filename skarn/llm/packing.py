@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -141,12 +142,25 @@ def best_fit(counts: dict[int, int], cap: int) -> list[Pattern]:
 
 
 def bins_at_least(counts: np.ndarray, cap: int) -> int:
-    """A lower bound of the number of bins (Martello and Toth): long pieces need one each, short ones what those leave too little of."""
+    """A lower bound of the number of bins: the better of two.
+
+    Long pieces need a bin each, short ones what those leave too little of (Martello and Toth). And sizes may be rounded to parts of k of a bin, up or down,
+    so that no full bin gets more than one (dual feasible functions): of pieces above a third, no bin has three.
+    """
     n, s = np.cumsum(counts), np.cumsum(counts * np.arange(cap + 1))
     low = np.arange(cap // 2 + 1)
     half, half_sum = n[cap - low] - n[cap // 2], s[cap - low] - s[cap // 2]
     small = s[cap // 2] - np.where(low > 0, s[low - 1], 0)
-    return int((n[cap] - n[cap // 2] + np.maximum(0, -(-(small - (half * cap - half_sum)) // cap))).max())
+    by_length = int((n[cap] - n[cap // 2] + np.maximum(0, -(-(small - (half * cap - half_sum)) // cap))).max())
+    k, rounded = _rounded(cap)
+    return max(by_length, int((-(-(rounded @ counts) // (k * cap))).max()))
+
+
+@lru_cache(maxsize=4)
+def _rounded(cap: int, most: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """For k = 1 to `most`, what each length counts of k * cap: k times itself if (k + 1) / cap times it is whole, else that rounded down, times cap."""
+    k, x = np.arange(1, most + 1)[:, None], np.arange(cap + 1)[None, :]
+    return k[:, 0], np.where((k + 1) * x % cap == 0, k * x, (k + 1) * x // cap * cap)
 
 
 class Branches:
@@ -178,7 +192,8 @@ class Branches:
 
     def _fillings(self, room: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
         """(waste, runs of lengths) of the undominated fillings of a room from the stock, the least waste first."""
-        stock = [x for x in np.flatnonzero(self.count[: room + 1]).tolist()]
+        stock = np.flatnonzero(self.count[: room + 1]).tolist()
+        self.left -= len(stock) // 10  # what the node itself takes
         kinds = sum(1 << x for x in np.flatnonzero(self.count).tolist())
         bits = [1]  # bit r of bits[i]: the first i lengths, as often as wanted, fill r exactly
         mask = (1 << (room + 1)) - 1
@@ -344,7 +359,7 @@ def _place(plan: Broadcast):
     return run
 
 
-def pack(docs: DataFrame, path: str, cap: int = 2048, end: int = 0, text: str = "text", id_col: str = "doc_id", effort: int | None = 200_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, cap: int = 2048, end: int = 0, text: str = "text", id_col: str = "doc_id", effort: int | None = 20_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and then the id `end`; a null or empty text is that one id. Only a document
