@@ -10,7 +10,7 @@ from skarn.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{os.path.join(sf, t)}.parquet'")
     got, want = queries.QUERIES[name](spark, sf), con.execute(queries.ORACLE_SQL[name])
     names = sorted(got.columns)
