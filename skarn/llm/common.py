@@ -54,16 +54,27 @@ def drop_stored(*dfs: DataFrame) -> None:
         _delete(df.sparkSession, {os.path.dirname(f) for f in df.inputFiles()})
 
 
-def stored_alone(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
-    """What make() gives, stored; all tables that it stored on the way are deleted then."""
-    _made.append([])
-    try:
-        out = stored(make(), name)
-        *others, _ = _made[-1]
-        _delete(spark, others)
-    finally:
-        _made.pop()
-    return out
+class Leftovers:
+    """Tables that a chain of steps stored on the way. Each step's output is written before the next step starts, so its own tables can go then.
+
+    A table stays while the next input reads it, and while it belongs to a step over that same input (whose output may still be pending).
+    All stay where the next input names no files, as a cached one does.
+    """
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[str, frozenset[str]]] = []
+
+    def step(self, make: Callable[[], DataFrame], docs: DataFrame) -> DataFrame:
+        given = frozenset(os.path.dirname(f) for f in docs.inputFiles())
+        read = {os.path.basename(d) for d in given}
+        gone = [t for t in self.tables if given and t[1] != given and os.path.basename(t[0]) not in read]
+        _delete(docs.sparkSession, [p for p, _ in gone])
+        self.tables = [t for t in self.tables if t not in gone]
+        _made.append([])
+        try:
+            return make()
+        finally:
+            self.tables += [(p, given) for p in _made.pop()]
 
 
 def partitions(spark: SparkSession) -> int:

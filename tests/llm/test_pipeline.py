@@ -29,3 +29,25 @@ def test_odd_rows(spark, odd, none, sf):
             now = stage(spark, now, sf).cache()
             assert now.columns == table.columns
         assert corpus_pipeline.STAGES[-1][1](spark, now, sf).count() >= 0
+
+
+def test_tables_of_earlier_stages_go(spark, sf, tmp_path):
+    """A stage deletes what earlier stages stored on the way, but nothing that a pending result reads."""
+    from skarn.llm.common import Leftovers, stored
+
+    def files(df):
+        return df.inputFiles()
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    left = Leftovers()
+    one = left.step(lambda: stored(docs.filter("doc_id < 9"), "one"), docs)
+    two = left.step(lambda: stored(docs.filter("doc_id < 8"), "two"), docs)
+    assert one.count() == 9 and two.count() == 8  # the same input: both stay
+    lazy = left.step(lambda: stored(one.filter("doc_id < 7"), "three"), one)
+    assert one.count() == 9 and lazy.count() == 7  # `one` is read still; `two` has gone
+    assert len(left.tables) == 2 and not any("two" in p for p, _ in left.tables)
+    lazy.write.parquet(str(tmp_path / "written"))
+    again = spark.read.parquet(str(tmp_path / "written"))
+    last = left.step(lambda: stored(again.filter("doc_id < 6"), "four"), again)
+    assert last.count() == 6 and len(left.tables) == 1 and "four" in left.tables[0][0]
+    assert files(last)
