@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from skarn.llm import kernel
 from skarn.llm.common import partitions, stored, text_hash
-from skarn.llm.ngram_join import NO_ID, ROWS, U64, _gather, _in_parts
+from skarn.llm.ngram_join import ROWS, U64, _gather, _in_parts
 
 FLUSH = 2_000_000
 #: A document is an id and a hash of its text, so that unlike texts under one id are documents of their own.
