@@ -79,7 +79,7 @@ def _one(spark: SparkSession, **values: object) -> DataFrame:
 # -- collections ---------------------------------------------------------------------------------------------
 
 
-@query("SELECT i.pos, i.doc_id, coalesce(d.lang, '') AS lang, length(coalesce(d.text, ''))::BIGINT AS n FROM (VALUES (0, 5), (1, 3), (2, 999999999), (3, 5)) i(pos, doc_id) LEFT JOIN documents d ON d.doc_id = i.doc_id")
+@query("SELECT i.pos, i.doc_id::BIGINT AS doc_id, coalesce(d.lang, '') AS lang, length(coalesce(d.text, ''))::BIGINT AS n FROM (VALUES (0, 5), (1, 3), (2, 999999999), (3, 5)) i(pos, doc_id) LEFT JOIN documents d ON d.doc_id = i.doc_id")
 def collection_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = shared(spark, sf_dir).get([5, 3, 999_999_999, 5])
     return spark.createDataFrame([(i, d.id, d.metadata.get("lang", ""), len(d.content)) for i, d in enumerate(got)], "pos int, doc_id long, lang string, n long")
