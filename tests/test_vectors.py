@@ -6,7 +6,7 @@ from skarn.catalog import SearchParams
 from skarn.functions.distance import block, distance, normalised
 from skarn.indices import DiskANN, HnswIndex, IVFPQIndex
 from skarn.operators import graph, ivfpq
-from skarn.operators.knn import knn, knn_join, medoids, within
+from skarn.operators.knn import _merged, knn, knn_join, medoids, within
 from skarn.plans import evaluate
 from skarn.sources.vectors import read_filtered_benchmark, read_vectors, write_vectors
 
@@ -46,6 +46,19 @@ def test_ties_and_padding(spark):
     assert within(df, [0, 0], 0.5, "l2").count() == 3
 
 
+def test_merged_keeps_ties():
+    """Against a sort of all: batches of few distinct distances, and of several sizes."""
+    rng = np.random.default_rng(6)
+    best_d, best_i, all_d, all_i = np.zeros((7, 0)), np.zeros((7, 0), np.int64), [], []
+    for n in (1, 3, 40, 5, 200):
+        d, ids = rng.integers(0, 4, (7, n)).astype(float), rng.permutation(1000)[:n] + 1000 * len(all_d)
+        best_d, best_i = _merged(best_d, best_i, d, ids, 6)
+        all_d.append(d), all_i.append(np.broadcast_to(ids, d.shape))
+        x, i = np.hstack(all_d), np.hstack(all_i)
+        order = np.lexsort((i, x), axis=1)[:, :6]
+        assert np.array_equal(best_i, np.take_along_axis(i, order, 1)) and np.array_equal(best_d, np.take_along_axis(x, order, 1))
+
+
 def test_query_blocks(spark, monkeypatch):
     rng = np.random.default_rng(0)
     df = frame(spark, rng.normal(size=(300, 8)))
@@ -128,6 +141,42 @@ def test_graph_of_no_and_one_vector():
     assert graph.Vamana(np.ones((1, 4)), 4).search(np.zeros(4), 3) == [(4.0, 0)]
 
 
+def graph_recall(spark, found_of, n=6000, dim=64):
+    """Of 100 vectors of n without clusters, in several parts."""
+    x = np.random.default_rng(4).normal(size=(n, dim))
+    df = frame(spark, x / np.linalg.norm(x, axis=1)[:, None])
+    asked = df.filter(f"vec_id % {n // 100} = 0")
+    pairs = [(r.vec_id, list(r.embedding)) for r in asked.collect()]
+    found, rows = found_of(df, pairs)
+    return evaluate.mean_recall(found, knn_join(asked, rows, 10), 10)
+
+
+def test_layered_graph_recall(spark):
+    """With the parameters of hnsw_graph_search, and the default part."""
+    assert graph_recall(spark, lambda df, pairs: (graph.search(graph.build(df, "hnsw", m=12, ef=48), pairs, 10, 64), df)) >= 0.9
+
+
+def test_tag_graph_recall_and_time(spark):
+    """Queries walk side by side, and meet only nodes with the tag: 100 queries over parts of 1,000 take few distances."""
+
+    def run(df, pairs):
+        df = df.withColumn("tags", F.array(F.col("vec_id") % 7))
+        graphs = graph.build(df, "vamana", tags_col="tags", part=1000, degree=16, width=32)
+        found = graph.search(graphs, pairs, 10, 64, label=2, stats=True).persist()
+        rows = df.filter("vec_id % 7 = 2")
+        assert found.agg(F.sum(F.when(F.col("rank") == 1, F.col("dist_comps")))).first()[0] <= len(pairs) * rows.count()
+        return found, rows
+
+    assert graph_recall(spark, run) >= 0.9
+
+
+def test_graph_reaches_separate_clusters():
+    """Clusters of equal vectors link to none but each other by nearness; all are reached nevertheless."""
+    x = np.repeat(np.eye(12) * 9, 30, axis=0)
+    for g in (graph.Hnsw(x, 4, 16), graph.Vamana(x, 4, 16)):
+        assert all(g.search(x[i], 3, 360)[0][0] == 0 for i in range(0, 360, 30))
+
+
 @pytest.mark.parametrize("name", ["a.fvecs", "a.ivecs", "a.fbin", "a.ibin", "a.npy"])
 def test_vector_files(spark, tmp_path, name):
     x = np.arange(60).reshape(20, 3).astype(np.int32 if name[2] == "i" else np.float32)
