@@ -72,3 +72,11 @@ def test_ivfpq_recall(spark):
 def test_tag_recall(spark):
     got = mean_recall(spark, "vamana_tag_search", {"tags": {"$contains": 22}})
     assert got >= 0.9
+
+
+def test_stream_of_a_folder(spark, tmp_path):
+    """A table of several files, as larger ones are."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["stream_into_collection"](spark, str(tmp_path)).collect()
+    assert sum(r.n for r in got) == sum(r.ids for r in got) == docs.count()
