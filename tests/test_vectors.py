@@ -135,6 +135,23 @@ def test_ivfpq(spark, workspace):
     assert evaluate.mean_recall(found, truth, 10) > 0.4
 
 
+def test_ivfpq_ranks_all_of_its_lists(spark):
+    """Without a cap on candidates: with all lists the 300 nearest are exact, and codes are ranked by what they decode to."""
+    rng = np.random.default_rng(7)
+    df = frame(spark, rng.normal(size=(900, 16)))
+    asked = df.filter("vec_id % 30 = 0")
+    model = ivfpq.train(df, 8, 4)
+    codes = ivfpq.encode(df, model)
+    found = ivfpq.search(codes, model, asked, 300, 8, vectors=df)
+    same = lambda f: {(r.qid, r["rank"], r.id) for r in f.collect()}
+    assert same(found) == same(knn_join(asked, df, 300))
+    assert evaluate.mean_recall(ivfpq.search(codes, model, asked, 10, 7, vectors=df), knn_join(asked, df, 10), 10) >= 0.9
+    rows = codes.collect()
+    x = model.decode(np.array([list(r.codes) for r in rows]), np.array([r.cluster_id for r in rows]))
+    decoded = spark.createDataFrame([(r.vec_id, v.tolist()) for r, v in zip(rows, x)], "vec_id long, embedding array<double>")
+    assert same(ivfpq.search(codes, model, asked, 10, 8)) == same(knn_join(asked, decoded, 10))
+
+
 def test_graph_of_no_and_one_vector():
     assert graph.Hnsw(np.zeros((0, 4))).search(np.zeros(4), 3) == []
     assert graph.Hnsw(np.ones((1, 4))).search(np.zeros(4), 3) == [(4.0, 0)]
