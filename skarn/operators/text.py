@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skarn.functions.text import Analyzer, exploded, tokens
+from skarn.functions.text import Analyzer, counted, exploded, tokens
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -35,19 +35,31 @@ class TextIndex:
         self.postings, self.lengths, self.analyzer, self.k1, self.b = postings, lengths, Analyzer(analyzer), k1, b
         self.occurrences = occurrences  # what postings count, where they aren't stored: a search then counts its own terms only
         self.frequencies = frequencies  # of the parts of a stored index; they add up
+        self._source: tuple[DataFrame, str, str] | None = None  # what build() was given: documents, id and text
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "content", analyzer: Analyzer | str = Analyzer.STANDARD, k1: float = 1.2, b: float = 0.75) -> TextIndex:
         pairs = exploded(docs, id_col, text_col, analyzer)
         lengths = pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("doc_len"))
-        return cls(_count(pairs), lengths, analyzer, k1, b, pairs)
-
-    def write(self, path: str) -> None:
-        """Postings are laid out by ranges of term and document, so that a search's terms prune files and row groups, and a frequent term has many tasks."""
+        index = cls(_count(pairs), lengths, analyzer, k1, b, pairs)
+        index._source = (docs, id_col, text_col)
+        return index
+
+    def _rows(self, path: str) -> DataFrame:
+        """Postings with lengths; lengths are written. Rows with ids of their own are counted one by one: only postings move, and once."""
+        if self._source is not None and self.analyzer is Analyzer.STANDARD:
+            docs, id_col, text_col = self._source
+            if not docs.groupBy(id_col).count().filter("count > 1").limit(1).count():
+                counted(docs, id_col, text_col, True).write.mode("overwrite").parquet(f"{path}/lengths")
+                return counted(docs, id_col, text_col)
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
         lengths = self.postings.sparkSession.read.schema("doc_id long, doc_len long").parquet(f"{path}/lengths")
-        rows = self.postings.join(lengths, "doc_id").select("term", "doc_id", "tf", "doc_len")
-        rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        return self.postings.join(lengths, "doc_id").select("term", "doc_id", "tf", "doc_len")
+
+    def write(self, path: str) -> None:
+        """Postings are laid out by hashes of term and document and sorted by term, so that a search's terms prune row groups and pages, and a frequent term has many tasks."""
+        rows = self._rows(path)
+        rows.repartition("term", F.pmod(F.xxhash64("doc_id"), F.lit(64))).sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         stored = self.postings.sparkSession.read.parquet(f"{path}/postings")
         stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/frequencies")
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from skarn.functions.text import STOP_WORDS, Analyzer, snippet, tokens
+from skarn.functions.text import STOP_WORDS, Analyzer, counted, snippet, tokens
 from skarn.operators import hybrid
 from skarn.operators.text import TextIndex
 from skarn.sources.documents import chunk_documents
@@ -87,3 +87,24 @@ def test_chunks(spark):
     docs = spark.createDataFrame([(1, "abcdefghij"), (2, None), (3, "  "), (4, "")], "doc_id long, text string")
     got = chunk_documents(docs, 4, 2).orderBy("chunk_no").collect()
     assert [(r.doc_id, r.chunk) for r in got] == [(1, "abcd"), (1, "cdef"), (1, "efgh"), (1, "ghij"), (1, "ij")]
+
+
+def test_counted_equals_tokens(spark):
+    """Terms counted row by row from bytes, against tokens(); also of texts that touch in a batch, are null or have no term."""
+    texts = ["ab", "Cd", None, "", "the a of", "x \u00e9ab-AB_ab\u212a9", "ab" * 3, "...", "\u0130stanbul zz\n9z", "z"] + [f"W{i % 7}x w{i % 3}{'q' * (i % 5)} \U0001f600t{i}" for i in range(2500)]
+    docs = spark.createDataFrame([(i + 5, t) for i, t in enumerate(texts)], "doc_id long, content string").coalesce(1)
+    want = docs.select("doc_id", F.explode(tokens(F.col("content"))).alias("term")).groupBy("doc_id", "term").count().collect()
+    sizes = {r.doc_id: r.n for r in docs.select("doc_id", F.size(tokens(F.col("content"))).alias("n")).collect()}
+    got = counted(docs, "doc_id", "content").collect()
+    assert sorted((r.doc_id, r.term, r.tf, r.doc_len) for r in got) == sorted((r.doc_id, r.term, r["count"], sizes[r.doc_id]) for r in want)
+    assert {r.doc_id: r.doc_len for r in counted(docs, "doc_id", "content", True).collect()} == {i: n for i, n in sizes.items() if n}
+
+
+def test_stored_index_moves_postings_once(spark, tmp_path):
+    """Rows that share an id still are one document; others need no shuffle before the one that lays postings out."""
+    docs = spark.createDataFrame([(1, "aa bb aa"), (2, "bb"), (2, "cc bb"), (3, "")], "doc_id long, content string")
+    TextIndex.build(docs).write(str(tmp_path / "twice"))
+    got = TextIndex.read(spark, str(tmp_path / "twice"))
+    assert sorted(map(tuple, got.postings.select("term", "doc_id", "tf", "doc_len").collect())) == [("aa", 1, 2, 3), ("bb", 1, 1, 3), ("bb", 2, 2, 3), ("cc", 2, 1, 3)]
+    plan = TextIndex.build(docs.filter("doc_id <> 2"))._rows(str(tmp_path / "once"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
