@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skarn.plans.layout import dealt
+
 
 def stock_level(lines: DataFrame, stock: DataFrame, *, order: str, item: str, stock_item: str, quantity: str, last: int = 20, threshold: float = 15) -> DataFrame:
     """One row: how many distinct items of the last orders have less than `threshold` in stock."""
@@ -53,14 +55,14 @@ def new_orders(requests: DataFrame, stock: DataFrame, prices: DataFrame, *, firs
     """The orders, order lines and stock after requests (customer, request, item, quantity).
 
     Orders are numbered from first_order by request, lines within an order by item; a line's amount is quantity x price. A
-    request with an item that isn't in stock's table is refused whole.
+    request with an item that isn't in stock's table is refused whole. Partitions grow in number with the requests, and not in size.
     """
-    unknown = requests.join(stock.select("item"), "item", "left_anti").select("request").distinct()
-    good = requests.join(unknown, "request", "left_anti")
+    unknown = dealt(requests, "item", like=requests).join(stock.select("item"), "item", "left_anti").select("request").distinct()
+    good = dealt(requests, "request", like=requests).join(unknown, "request", "left_anti")
     by_request = good.groupBy("request").agg(F.min("customer").alias("customer"), F.count(F.lit(1)).alias("n_lines"))
     orders = by_request.withColumn("order", F.col("request") + F.lit(first_order)).withColumn("day", F.lit(first_day).cast("date")).withColumn("status", F.lit("O"))
     by = Window.partitionBy("request").orderBy("item", "quantity")
-    lines = good.withColumn("line", F.row_number().over(by)).join(prices, "item")
+    lines = dealt(good.withColumn("line", F.row_number().over(by)), "item", like=requests).join(prices, "item")
     lines = lines.select((F.col("request") + F.lit(first_order)).alias("order"), "line", "item", "quantity", (F.col("quantity") * F.col("price")).alias("amount"))
     left = restock(stock, good.select("item", F.col("quantity").alias("sold")), item="item", quantity="in_stock")
     return orders.select("order", "customer", "day", "status", "n_lines"), lines, left

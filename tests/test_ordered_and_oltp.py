@@ -58,3 +58,14 @@ def test_generators(spark):
     assert z.min() == 1 and z.max() <= 100 and (z == 1).mean() > 0.1
     df = spark.range(1000).selectExpr("rand(1) u").select(zipf_column(F.col("u"), 50, 0.9, 10).alias("z"))
     assert df.agg({"z": "min"}).first()[0] >= 10 and df.agg({"z": "max"}).first()[0] < 60
+
+
+def test_dealt_grows_in_number(spark, tmp_path):
+    """Requests go to partitions by the bytes of their files, which adaptive plans don't merge."""
+    from skarn.plans.layout import dealt
+
+    spark.range(200_000).selectExpr("id", "hash(id) % 1000 k").write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    few, many = dealt(t, "k", like=t), dealt(t, "k", like=t, most=50_000)
+    assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism < many.rdd.getNumPartitions()
+    assert many.count() == 200_000
