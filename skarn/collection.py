@@ -195,6 +195,8 @@ class Collection:
         cols = [F.coalesce(F.col("content"), F.lit("")).alias("content")]
         cols += [(F.col(n).try_cast(f.type.spark()) if n in df.columns else F.lit(None).cast(f.type.spark())).alias(n) for n, f in declared.items()]
         cols += [meta.alias("metadata"), (F.col("embedding") if "embedding" in df.columns else F.lit(None)).cast("array<float>").alias("embedding"), F.coalesce(bad, F.lit(False)).alias("_bad")]
+        if order_by and (added := self._add_by_key(df, order_by, cols, state, batch_id)) is not None:
+            return added
         rows = df.orderBy(order_by) if order_by else df
         rows = rows.select(*cols).withColumn("_at", F.monotonically_increasing_id())
         staged = self._new_part()
@@ -218,6 +220,30 @@ class Collection:
         finally:
             shutil.rmtree(staged)
 
+    def _add_by_key(self, df: DataFrame, key: str, cols: list[Column], state: dict, batch_id: int | str | None) -> tuple[int, int] | None:
+        """Rows with keys of their own: only keys are sorted, and the rows joined to their places and written once. None, if a key is null or there twice."""
+        spark, staged = self.workspace.spark, self._new_part()
+        df.select(F.col(key).alias("_key")).orderBy("_key").withColumn("_at", F.monotonically_increasing_id()).write.parquet(staged)
+        try:
+            keys = spark.read.parquet(staged).withColumn("_p", F.shiftright("_at", 33))
+            if keys.groupBy("_key").count().filter("count > 1 or _key is null").limit(1).count():
+                return None
+            if df.select(*cols).agg(F.max(F.col("_bad").cast("int"))).first()[0]:
+                raise ValueError("rows don't fit the schema")
+            total, first = 0, []
+            for r in keys.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).orderBy("_p").collect():
+                first.append((r["_p"], state["next_id"] + total))
+                total += r.n
+            if total:
+                shift = F.broadcast(spark.createDataFrame(first, "_p long, _first long"))  # a row for each written partition
+                ids = keys.join(shift, "_p").select("_key", (F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("_id"))
+                placed = df.join(ids, F.col(key) == F.col("_key")).select(*cols, F.col("_id").alias("doc_id"))
+                self._check_unique(df=placed)
+                self._append(placed, total, state, batch_id)
+            return state["next_id"] - total, total
+        finally:
+            shutil.rmtree(staged)
+
     def _new_part(self) -> str:
         return os.path.join(self._path, f"part-{uuid.uuid4().hex}")
 

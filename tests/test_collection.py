@@ -146,3 +146,13 @@ def test_catalog_and_workspace(spark, tmp_path):
     with Workspace(spark, str(tmp_path / "a"), cleanup_if_exist=True) as again:
         assert IndexCatalog(again).list_indexes() == []
     assert buffer_config(2)["spark.executor.memory"] == "2048m"
+
+
+def test_add_by_key_sorts_keys_only(spark, workspace):
+    """Ids follow the keys, also where they are in disorder; keys that are there twice take the general way."""
+    c = Collection(workspace, "keyed", Schema.from_dict({"k": "int"}))
+    assert c.add_dataframe(spark.createDataFrame([("c", 30), ("a", 10), ("b", 20)], "content string, k int").repartition(3), order_by="k") == (0, 3)
+    assert c._add_by_key(spark.createDataFrame([("x", 1), ("y", 1)], "content string, k int"), "k", [F.col("content")], c._manifest(), None) is None
+    assert c.add_dataframe(spark.createDataFrame([("e", 2), ("d", 1), ("f", 2)], "content string, k int"), order_by="k") == (3, 3)
+    assert [(r.doc_id, r.k) for r in c.documents().orderBy("doc_id").collect()] == [(0, 10), (1, 20), (2, 30), (3, 1), (4, 2), (5, 2)]
+    assert "d" == c.get([3])[0].content and c.doc_count() == 6
