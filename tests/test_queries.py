@@ -69,6 +69,14 @@ def test_ivfpq_recall(spark):
     assert got[queries.NPROBE] >= 0.9
 
 
+def test_ivfpq_recall_with_a_missing_vector(spark, tmp_path):
+    """A query without a vector counts as one of the query set, as in SQL."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    rows.withColumn("embedding", queries.F.expr("if(vec_id = 40, null, embedding)")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = queries.QUERIES["ivfpq_recall_reached"](spark, str(tmp_path)).first()
+    assert (got.queries, got.recall_reached) == (25, True)
+
+
 def test_tag_recall(spark):
     got = mean_recall(spark, "vamana_tag_search", {"tags": {"$contains": 22}})
     assert got >= 0.9
