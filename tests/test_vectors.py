@@ -235,6 +235,24 @@ def test_tag_graph_recall_and_time(spark):
     assert graph_recall(spark, run) >= 0.9
 
 
+def test_small_tag_graphs_are_ranked_whole(spark):
+    """Graphs of up to four times a walk's width take one product and no walk; the answer is exact, and larger ones still walk."""
+    x = np.random.default_rng(6).normal(size=(3000, 16))
+    df = frame(spark, x).withColumn("tags", F.expr("if(vec_id < 2900, array(vec_id % 7), array(7L, 8L))"))
+    graphs = graph.build(df, "vamana", tags_col="tags", part=1000, degree=8, width=16).persist()
+    pairs = [(i, x[i].astype(np.float32).tolist()) for i in range(0, 3000, 50)]
+    asked = df.filter("vec_id % 50 = 0")
+    for label, ef, hops in ((2, 64, 3), (8, 20, 3)):
+        found = graph.search(graphs, pairs, 10, ef, label, stats=True).collect()
+        rows = df.filter(F.array_contains("tags", F.lit(label).cast("long")))
+        n = rows.count()
+        assert {(r.qid, r["rank"], r.id) for r in found} == {(r.qid, r["rank"], r.id) for r in knn_join(asked, rows, 10).collect()}
+        assert {(r.dist_comps, r.hops) for r in found} == {(n, hops)}
+    assert graph.search(graphs, pairs, 10, 64, 99).count() == 0
+    walked = graph.search(graphs, pairs, 10, 16, 2, stats=True).collect()
+    assert min(r.hops for r in walked) > 3 * 10
+
+
 def test_graph_reaches_separate_clusters():
     """Clusters of equal vectors link to none but each other by nearness; all are reached nevertheless."""
     x = np.repeat(np.eye(12) * 9, 30, axis=0)
