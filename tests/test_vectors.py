@@ -200,6 +200,25 @@ def test_codebooks_are_fitted_in_tasks(spark):
     assert np.array_equal(model.assign(x), near)
 
 
+def test_list_scan_memory_does_not_grow_with_lists():
+    """A task holds the k best rows of a query, not those of each list that it probes."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng, lists, asked = np.random.default_rng(9), 32, 8000
+    model = ivfpq.Model(rng.normal(size=(lists, 8)), rng.normal(size=(2, 256, 4)))
+    queries = (np.arange(asked), rng.normal(size=(asked, 8)), np.tile(np.arange(lists), (asked, 1)))
+    n = 640
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array((np.arange(n) % lists).astype(np.int32)), pa.array([bytes(c) for c in rng.integers(0, 256, (n, 2), np.uint8)])], names=["vec_id", "cluster_id", "codes"])
+    tracemalloc.start()
+    found = sum(b.num_rows for b in ivfpq._scan(SimpleNamespace(value=model), SimpleNamespace(value=queries), 10)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == asked * 10 and peak < asked * lists * 10 * 16 * 1.5
+
+
 def test_graph_of_no_and_one_vector():
     assert graph.Hnsw(np.zeros((0, 4))).search(np.zeros(4), 3) == []
     assert graph.Hnsw(np.ones((1, 4))).search(np.zeros(4), 3) == [(4.0, 0)]
